@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemagate.plans.skew import HOT_ROWS, lookup_join
+from schemagate.plans.skew import lookup_join
 
 SCHEMAS = {
     "datasets": "id string, org_id string, name string, description string, profile string, schedule_cron string, "
@@ -65,7 +65,7 @@ def latest_successful_run(runs: DataFrame) -> DataFrame:
     )
 
 
-def runs_to_purge(runs: DataFrame, keep_last: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+def runs_to_purge(runs: DataFrame, keep_last: int = 10) -> DataFrame:
     """All runs of a dataset but its newest ``keep_last``.
 
     The kept rank is limited before the shuffle, so each task passes on at most ``keep_last`` runs
@@ -80,7 +80,7 @@ def runs_to_purge(runs: DataFrame, keep_last: int = 10, hot_rows: int = HOT_ROWS
         .agg(F.min(F.struct("started_at", "id")).alias("cut"))
     )
     return (
-        lookup_join(runs, cuts, "dataset_id", hot_rows=hot_rows)
+        lookup_join(runs, cuts, "dataset_id")
         .filter(F.struct("started_at", "id") < F.col("cut"))
         .drop("cut")
     )

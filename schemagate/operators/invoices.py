@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from schemagate.functions.dates import date_prefix, parse_date
 from schemagate.functions.numbers import MONEY_TYPE, money, money_product, parse_decimal
 from schemagate.functions.text import safe_filename, strip
-from schemagate.plans.skew import flag_repeated, hot_keys, lookup_join, number_within
+from schemagate.plans.skew import flag_repeated, hot_keys, number_hot, number_within
 from schemagate.profiles import Profile
 
 PART_LINES = 100_000
-HOT_PARTS = 100
 DIGEST_FANIN = 10_000
 CURRENCY = "EUR"
 
@@ -132,7 +131,7 @@ def invoice_totals(lines: DataFrame, order: Sequence[str], carry: Sequence[str]
 
 
 def number_lines(
-    lines: DataFrame, order: Sequence[str], chunk: Sequence[Column], hot_rows: int = PART_LINES
+    lines: DataFrame, order: Sequence[str], chunk: Sequence[Column | str], hot_rows: int = PART_LINES
 ) -> DataFrame:
     """Line numbers from 1 within each invoice."""
     return number_within(lines, ["invoice_id"], [F.col(c) for c in order], chunk, "line_no", hot_rows)
@@ -263,19 +262,20 @@ def _illegal(c: Column) -> Column:
 def nested_lines(
     lines: DataFrame,
     order: Sequence[str],
-    chunk: Sequence[Column],
+    chunk: Sequence[Column | str],
     carry: Sequence[str] = (),
     part_lines: int = PART_LINES,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
     """Invoices with their lines in an array: one row per invoice, several for very long ones.
 
     Columns: invoice_id, part_no (from 0), n_parts, first_line, lines, line_count, net, tax,
     payable, carry. The lines of usual invoices are gathered in one shuffle. Only invoices with
     more than ``part_lines`` lines, at most ``rows / part_lines`` of them, are numbered and cut
-    into parts first.
+    into parts first. To find those, ``ids`` may give the invoice_id of each line more cheaply.
     """
     slim = lines.select(*dict.fromkeys(["invoice_id", *order, *LINE_FIELDS, "line_tax", *carry]))
-    big = F.broadcast(hot_keys(slim, ["invoice_id"], part_lines))
+    big = F.broadcast(hot_keys(slim if ids is None else ids, ["invoice_id"], part_lines))
     item = F.struct(*order, *[c for c in LINE_FIELDS if c not in order])
     totals = [_total("line_net").alias("net"), _total("line_tax").alias("tax")]
     first = [F.min_by(F.struct(*carry), F.struct(*order)).alias("first")] if carry else []
@@ -292,8 +292,8 @@ def nested_lines(
             F.size("lines").cast("bigint").alias("line_count"), "net", "tax", payable, *carried,
         )
     )
-    numbered = number_within(
-        slim.join(big, "invoice_id", "left_semi"), ["invoice_id"], [F.col(c) for c in order], chunk, "line_no", part_lines
+    numbered = number_hot(
+        slim.join(big, "invoice_id", "left_semi"), ["invoice_id"], [F.col(c) for c in order], chunk, "line_no"
     )
     parts = (
         numbered.withColumn("part_no", F.floor((F.col("line_no") - 1) / part_lines).cast("bigint"))
@@ -309,7 +309,7 @@ def nested_lines(
             "line_count", "net", "tax", payable, *carried,
         )
     )
-    long = lookup_join(parts, whole, "invoice_id", hot_rows=HOT_PARTS)
+    long = parts.join(whole, "invoice_id")
     return usual.unionByName(long)
 
 
@@ -385,7 +385,7 @@ HEAD_FIELDS = ("issue_date", "supplier_name", "supplier_tax_id", "customer_name"
 def invoice_batch(df: DataFrame, profile: Profile, row_id: str, parse_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents and registry of a table of invoice lines; ``row_id`` is the line's place in its file."""
     lines = lines_from_table(df, profile, row_id, parse_text)
-    chunk = [F.floor(F.col("row_id") / PART_LINES)]
+    chunk = [f"floor(row_id / {PART_LINES})"]
     docs = documents(nested_lines(lines, ["row_id"], chunk, HEAD_FIELDS))
     return docs, registry(docs)
 

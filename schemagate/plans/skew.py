@@ -19,7 +19,7 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of a plan, None where the session does not expose it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except AttributeError:
         return None
 
@@ -35,66 +35,72 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: str,
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    facts: DataFrame, dim: DataFrame, on: str, how: str = "inner", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Join facts to a table with unique keys.
 
-    The table is broadcast when its estimated size fits. Else the rows of hot keys meet only the
-    broadcast rows of those keys, and all others are shuffled without them.
+    The table is broadcast when its estimated size fits. Else both sides are shuffled, and the
+    adaptive skew join cuts the partition of a hot key into several tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    if fits_broadcast(dim, broadcast_bytes):
-        return facts.join(F.broadcast(dim), on, how)
-    hot = hot_keys(facts.filter(F.col(on).isNotNull()), [on], hot_rows)
-    hot_dim = dim.join(F.broadcast(hot), on, "left_semi")
-    hot_side = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_dim), on, how)
-    cold = facts.filter(F.col(on).isNotNull()).join(F.broadcast(hot), on, "left_anti").join(dim, on, how)
-    out = hot_side.unionByName(cold)
-    if how == "left":
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields if f.name != on]
-        unkeyed = facts.filter(F.col(on).isNull()).select("*", *missing)
-        out = out.unionByName(unkeyed)
-    return out
+    return facts.join(F.broadcast(dim) if fits_broadcast(dim, broadcast_bytes) else dim, on, how)
+
+
+def split_join(facts: DataFrame, dim: DataFrame, on: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of a plain scan to a table with unique keys, too large to broadcast.
+
+    Rows of hot keys meet the broadcast rows of those keys and are not shuffled at all. The facts
+    are read three times, so this is for scans, not for the results of other joins.
+    """
+    keyed = facts.filter(F.col(on).isNotNull())
+    hot = F.broadcast(hot_keys(keyed, [on], hot_rows))
+    hot_dim = F.broadcast(dim.join(hot, on, "left_semi"))
+    return keyed.join(hot_dim, on).unionByName(keyed.join(hot, on, "left_anti").join(dim, on))
 
 
 def number_within(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    chunk: Sequence[Column],
+    chunk: Sequence[Column | str],
     name: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``.
 
-    ``chunk`` are coarse steps of the ordering: rows of an earlier chunk come before those of a
-    later one. Small groups are numbered by one window; hot groups are numbered chunk by chunk,
+    ``chunk`` are coarse steps of the ordering, columns or SQL expressions without nulls: rows of
+    an earlier chunk come before those of a later one. Small groups are numbered by one window; hot groups are numbered chunk by chunk,
     each chunk starting after the row counts of the chunks before it.
     """
+    hot = hot_keys(df, group, hot_rows)
+    marked = df.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), list(group), "left")
+    return _number(marked, group, order, chunk, name, F.col("__hot")).drop("__hot")
+
+
+def number_hot(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], chunk: Sequence[Column | str], name: str
+) -> DataFrame:
+    """Like :func:`number_within` for rows whose groups are all known to be hot."""
+    return _number(df, group, order, chunk, name, F.lit(True))
+
+
+def _number(df, group, order, chunk, name, hot: Column) -> DataFrame:
     group = list(group)
     steps = [f"__step{i}" for i in range(len(chunk))]
-    is_hot = F.broadcast(hot_keys(df, group, hot_rows).withColumn("__hot", F.lit(True)))
-    tagged = df.join(is_hot, group, "left")
-    tagged = tagged.withColumns({s: F.when(F.col("__hot"), c) for s, c in zip(steps, chunk)})
-
+    chunk = [F.expr(c) if isinstance(c, str) else c for c in chunk]
+    tagged = df.withColumns({s: F.when(hot, c) for s, c in zip(steps, chunk)})
     before = Window.partitionBy(*group).orderBy(*steps).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        tagged.filter(F.col("__hot"))
+        tagged.filter(hot)
         .groupBy(*group, *steps)
         .agg(F.count(F.lit(1)).alias("__rows"))
         .select(*group, *steps, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
     local = F.row_number().over(Window.partitionBy(*group, *steps).orderBy(*order))
-    numbered = tagged.withColumn("__local", local)
-    joined = numbered.join(offsets, [*group, *steps], "left")
+    joined = tagged.withColumn("__local", local).join(offsets, [*group, *steps], "left")
     position = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
-    return joined.withColumn(name, position.cast("bigint")).drop("__hot", "__local", "__before", "__rows", *steps)
+    return joined.withColumn(name, position.cast("bigint")).drop("__local", "__before", *steps)
 
 
 def digest(*columns: Column) -> Column:
