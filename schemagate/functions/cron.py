@@ -7,7 +7,7 @@ from 0 = Monday with ``monday_zero``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lowest and highest value of each field.
@@ -75,37 +75,41 @@ def _value_array(field: Column, low: int, high: int) -> Column:
     return F.when(whole, F.array_sort(F.array_distinct(F.flatten(parts))))
 
 
-def next_due(
-    cron: Column, after: Column, horizon_days: int = HORIZON_DAYS, monday_zero: bool = False
-) -> Column:
-    """First minute after ``after`` at which the schedule in the column fires, null if none.
+def with_next_due(
+    df: DataFrame, cron: str, after: str, name: str = "due_at", horizon_days: int = HORIZON_DAYS, monday_zero: bool = False
+) -> DataFrame:
+    """Add the first minute after column ``after`` at which the schedule in column ``cron`` fires.
 
-    The rest of the first day is searched by minute of day, later days by date only, so a row
-    costs at most ``horizon_days`` dates instead of a minute calendar.
+    Null for malformed schedules and for those that do not fire within the horizon. The rest of
+    the first day is searched by minute of day and later days by date, so a row costs at most
+    ``horizon_days`` dates instead of a calendar of minutes.
     """
-    fields = F.split(F.trim(cron), r"\s+")
-    arrays = {name: _value_array(F.get(fields, i), low, high) for i, (name, low, high) in enumerate(FIELDS)}
-    minutes = F.flatten(
-        F.transform(arrays["hour"], lambda h: F.transform(arrays["minute"], lambda m: h * 60 + m))
+    fields = F.split(F.trim(F.col(cron)), r"\s+")
+    arrays = {f"__{n}": _value_array(F.get(fields, i), low, high) for i, (n, low, high) in enumerate(FIELDS)}
+    # Projected first: lambdas would otherwise parse the schedule anew for every date they look at.
+    parsed = df.withColumns(arrays).withColumn("__parts", F.size(fields))
+    parsed = parsed.withColumn(
+        "__minutes",
+        F.flatten(F.transform("__hour", lambda h: F.transform("__minute", lambda m: h * 60 + m))),
     )
-    today = F.to_date(after)
-    now = F.hour(after) * 60 + F.minute(after)
+    moment = F.col(after)
+    today, now = F.to_date(moment), F.hour(moment) * 60 + F.minute(moment)
 
     def fires_on(d: Column) -> Column:
         return (
-            F.array_contains(arrays["day"], F.dayofmonth(d))
-            & F.array_contains(arrays["month"], F.month(d))
-            & F.array_contains(arrays["weekday"], _weekday(d, monday_zero))
+            F.array_contains("__day", F.dayofmonth(d))
+            & F.array_contains("__month", F.month(d))
+            & F.array_contains("__weekday", _weekday(d, monday_zero))
         )
 
-    later_today = F.get(F.filter(minutes, lambda m: m > now), 0)
     days = F.sequence(F.date_add(today, 1), F.date_add(today, horizon_days), F.expr("interval 1 day"))
-    later_day = F.get(F.filter(days, fires_on), 0)
+    parsed = parsed.withColumn(
+        "__later_today", F.when(fires_on(today), F.get(F.filter("__minutes", lambda m: m > now), 0))
+    ).withColumn("__later_day", F.when(F.col("__later_today").isNull(), F.get(F.filter(days, fires_on), 0)))
 
     def at(day: Column, minute: Column) -> Column:
         return day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute)
 
-    due = F.when(fires_on(today) & later_today.isNotNull(), at(today, later_today)).otherwise(
-        at(later_day, F.get(minutes, 0))
-    )
-    return F.when(F.size(fields) == len(FIELDS), due)
+    due = F.coalesce(at(today, F.col("__later_today")), at(F.col("__later_day"), F.get("__minutes", 0)))
+    out = parsed.withColumn(name, F.when(F.col("__parts") == len(FIELDS), due))
+    return out.drop(*arrays, "__parts", "__minutes", "__later_today", "__later_day")

@@ -1 +1,70 @@
+"""Queries of file intake, over texts and listings made from the tables."""
 
+from pyspark.sql import functions as F
+
+from schemagate.plans.queries.base import load, query
+from schemagate.sources import files as op
+
+
+@query("select doc_id, sha256(text) as checksum, n_chars from documents")
+def row_checksum(spark, sf):
+    content = load(spark, sf, "documents").select("doc_id", "n_chars", F.encode("text", "UTF-8").alias("content"))
+    return content.select("doc_id", F.sha2("content", 256).alias("checksum"), "n_chars")
+
+
+@query("select doc_id, case when mod(doc_id, 4) = 0 then 'windows-1251' else 'UTF-8' end as encoding from documents")
+def encoding_detect(spark, sf):
+    """A lone lead byte at the end of some texts makes them invalid UTF-8."""
+    text = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(text, F.unhex(F.lit("D0")))).otherwise(text)
+    return load(spark, sf, "documents").select("doc_id", op.detect_encoding(content).alias("encoding"))
+
+
+SEPARATED = "case mod(doc_id, 5) when 0 then replace(text, ',', ';') when 1 then replace(text, ' ', chr(9)) when 2 then replace(text, '.', '|') when 3 then replace(text, ',', '') else text end"
+
+
+def _count(c: str) -> str:
+    return f"(length(t) - length(replace(t, {c}, '')))"
+
+
+@query(f"""select doc_id, case when greatest(a, b, c, d) = 0 or a = greatest(a, b, c, d) then ',' when b = greatest(a, b, c, d) then ';'
+  when c = greatest(a, b, c, d) then chr(9) else '|' end as delimiter
+  from (select doc_id, {_count("','")} as a, {_count("';'")} as b, {_count("chr(9)")} as c, {_count("'|'")} as d
+        from (select doc_id, {SEPARATED} as t from documents))""")
+def delimiter_detect(spark, sf):
+    """Delimiter by the whole text."""
+    return load(spark, sf, "documents").select("doc_id", op.detect_delimiter(F.expr(SEPARATED), None).alias("delimiter"))
+
+
+@query("""select doc_id, row_id, len(cells) as width, md5(array_to_string(cells, '|')) as digest from (select doc_id, row_id, string_split(line, ',') as cells
+  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as row_id
+        from (select doc_id, replace(text, '"', '') as text from documents)))""")
+def delimited_rows(spark, sf):
+    """Lines of the documents as rows of cells; every other cell is quoted, so that its commas would not count."""
+    lines = load(spark, sf, "documents").select(
+        "doc_id", F.posexplode(F.split(F.replace("text", F.lit('"'), F.lit("")), "\n")).alias("row_id", "line")
+    )
+    quoted = F.regexp_replace("line", "([^,]+),([^,]+)", '"$1",$2')
+    return lines.select("doc_id", F.col("row_id").cast("bigint").alias("row_id"), op.split_cells(quoted, F.lit(",")).alias("cells")).select(
+        "doc_id", "row_id", F.size("cells").cast("bigint").alias("width"), F.md5(F.array_join("cells", "|")).alias("digest")
+    )
+
+
+LISTING = """'up/' || source || '/' || lang || '/' || cast(doc_id as string) || case mod(doc_id, 5) when 0 then '.csv' when 1 then '.XLSX'
+    when 2 then '.txt' when 3 then '.pdf' else '.xls' end"""
+
+
+def listing(spark, sf):
+    return load(spark, sf, "documents").selectExpr(f"{LISTING} as path", "n_chars as length", "timestamp_seconds(n_chars) as modificationTime")
+
+
+@query(f"""select {LISTING} as path, n_chars as length, case when mod(doc_id, 5) = 3 then 'unsupported_extension' else 'file_too_large' end as reason
+  from documents where mod(doc_id, 5) = 3 or n_chars > 4000""")
+def admission_errors(spark, sf):
+    return op.rejected(listing(spark, sf), max_bytes=4000)
+
+
+@query(f"""select source as org_id, lang as dataset_id, arg_max(path, (n_chars, path)) as path, max(n_chars) as age from
+  (select *, {LISTING} as path from documents where mod(doc_id, 5) in (0, 1, 4)) group by source, lang""")
+def newest_inputs(spark, sf):
+    return op.newest_inputs(listing(spark, sf)).select("org_id", "dataset_id", "path", F.unix_seconds("modificationTime").alias("age"))
