@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Lowest and highest value of each field.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
 HORIZON_DAYS = 366
+SPANS = (7, 31, 93)
 
 
 def _field_values(field: str, name: str, low: int, high: int) -> list[int]:
@@ -58,21 +59,25 @@ def cron_match(expression: str, ts: Column, monday_zero: bool = False) -> Column
     return hit
 
 
+def _number(c: Column) -> Column:
+    # Only digits reach the cast: failed casts are slow.
+    return F.when(c.rlike("^[0-9]{1,4}$"), c).cast("int")
+
+
 def _value_array(field: Column, low: int, high: int) -> Column:
-    """Values of a cron field held in a column."""
+    """Values of a cron field held in a column, null for a malformed one."""
     def values(part: Column) -> Column:
-        span = F.split_part(part, F.lit("/"), F.lit(1))
-        step = F.coalesce(F.split_part(part, F.lit("/"), F.lit(2)).try_cast("int"), F.lit(1))
-        first = F.split_part(span, F.lit("-"), F.lit(1)).try_cast("int")
-        last = F.coalesce(F.split_part(span, F.lit("-"), F.lit(2)).try_cast("int"), first)
+        span, step = F.substring_index(part, "/", 1), F.substring_index(part, "/", -1)
+        first, last = _number(F.substring_index(span, "-", 1)), _number(F.substring_index(span, "-", -1))
         start = F.when(span == "*", low).otherwise(first)
         end = F.when(span == "*", high).otherwise(last)
-        usable = (start >= low) & (start <= end) & (end <= high) & (step > 0)
-        return F.when(usable, F.sequence(start, end, step))
+        every = F.when(F.contains(part, F.lit("/")), _number(step)).otherwise(1)
+        usable = (start >= low) & (start <= end) & (end <= high) & (every > 0)
+        return F.when(usable, F.sequence(start, end, every))
 
     parts = F.transform(F.split(field, ","), values)
-    whole = ~F.exists(parts, lambda p: p.isNull())
-    return F.when(whole, F.array_sort(F.array_distinct(F.flatten(parts))))
+    # Flattening gives null as soon as one part is null.
+    return F.array_sort(F.array_distinct(F.flatten(parts)))
 
 
 def with_next_due(
@@ -102,10 +107,16 @@ def with_next_due(
             & F.array_contains("__weekday", _weekday(d, monday_zero))
         )
 
-    days = F.sequence(F.date_add(today, 1), F.date_add(today, horizon_days), F.expr("interval 1 day"))
+    def first_within(start: int, end: int) -> Column:
+        ahead = F.filter(F.sequence(F.lit(start), F.lit(end)), lambda n: fires_on(F.date_add(today, n)))
+        return F.date_add(today, F.get(ahead, 0))
+
+    # Most schedules fire soon, so the horizon is searched in growing spans until one has a day.
+    ends = [e for e in SPANS if e < horizon_days] + [horizon_days]
+    later = F.coalesce(*[first_within(start + 1, end) for start, end in zip([0, *ends], ends)])
     parsed = parsed.withColumn(
         "__later_today", F.when(fires_on(today), F.get(F.filter("__minutes", lambda m: m > now), 0))
-    ).withColumn("__later_day", F.when(F.col("__later_today").isNull(), F.get(F.filter(days, fires_on), 0)))
+    ).withColumn("__later_day", F.when(F.col("__later_today").isNull(), later))
 
     def at(day: Column, minute: Column) -> Column:
         return day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute)

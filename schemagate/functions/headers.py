@@ -30,15 +30,25 @@ MIN_SIMILARITY = 0.7
 BOOTSTRAP_SIMILARITY = 0.5
 
 
-def normalize_header(c: Column) -> Column:
-    """Lower-case Latin words joined by underscores; empty for null."""
-    h = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"\p{M}", "")
+# What a header must hold for the words or letters above to matter.
+_TRANSLATABLE = r"[\u0400-\u04FF]|" + "|".join(w for w, r in HEADER_WORDS if w.isascii() and w != r)
+
+
+def _translate(h: Column) -> Column:
     for word, replacement in HEADER_WORDS:
         if word != replacement:
             h = F.replace(h, F.lit(word), F.lit(replacement))
     h = F.translate(h, LETTERS_FROM, LETTERS_TO)
     for letter, replacement in LETTER_GROUPS:
         h = F.replace(h, F.lit(letter), F.lit(replacement))
+    return h
+
+
+def normalize_header(c: Column) -> Column:
+    """Lower-case Latin words joined by underscores; empty for null."""
+    h = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"\p{M}+", "")
+    # One test spares most headers the whole list of replacements.
+    h = F.when(h.rlike(_TRANSLATABLE), _translate(h)).otherwise(h)
     h = F.regexp_replace(h, r"(?U)[^\w\s]", " ")
     h = F.regexp_replace(strip(h), r"(?U)\s+", "_")
     return F.btrim(h, F.lit("_"))

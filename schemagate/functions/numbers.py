@@ -23,7 +23,8 @@ MONEY_TYPE = "decimal(18,2)"
 
 def numeric(c: Column, data_type: str = "double") -> Column:
     """Plain numeric text as ``data_type``, null for everything else."""
-    return F.regexp_extract(strip(c), NUMERIC_PATTERN, 0).try_cast(data_type)
+    # Casting only what matched: a failed cast costs far more than the match.
+    return F.nullif(F.regexp_extract(strip(c), NUMERIC_PATTERN, 0), F.lit("")).try_cast(data_type)
 
 
 def parse_integer(c: Column, thousand: Sequence[str] = THOUSAND_SEPARATORS) -> Column:
@@ -83,15 +84,18 @@ def money_product(a: Column, b: Column) -> Column:
 
 def infer_separators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column with its (thousand, decimal) separators, from one pass over all values."""
+    values = [strip(F.col(name)) for name in columns]
+    digits = df.select(*[F.when(v.rlike("[0-9]"), v).alias(f"v{i}") for i, v in enumerate(values)])
     aggregates = []
-    for name in columns:
-        value = strip(F.col(name))
-        value = F.when(value.rlike("[0-9]"), value)
+    for i, name in enumerate(columns):
+        value = F.col(f"v{i}")
         after_space = F.substring_index(value, " ", -1)
-        comma_decimal = F.coalesce(F.bool_or(F.contains(after_space, F.lit(","))), F.lit(False))
-        dot_decimal = F.coalesce(F.bool_or(F.contains(after_space, F.lit("."))), F.lit(False))
-        space_thousand = F.coalesce(F.bool_or(F.contains(value, F.lit(" "))), F.lit(False))
-        comma_thousand = F.coalesce(F.bool_or(value.rlike(",.*,")), F.lit(False))
+        commas = F.length(value) - F.length(F.replace(value, F.lit(","), F.lit("")))
+        no = F.lit(False)
+        comma_decimal = F.coalesce(F.bool_or(F.contains(after_space, F.lit(","))), no)
+        dot_decimal = F.coalesce(F.bool_or(F.contains(after_space, F.lit("."))), no)
+        space_thousand = F.coalesce(F.bool_or(F.contains(value, F.lit(" "))), no)
+        comma_thousand = F.coalesce(F.bool_or(commas > 1), no)
         notation = (
             F.when(comma_decimal & space_thousand, F.struct(F.lit(" ").alias("thousand"), F.lit(",").alias("decimal")))
             .when(comma_decimal & ~dot_decimal, F.struct(F.lit("").alias("thousand"), F.lit(",").alias("decimal")))
@@ -99,7 +103,7 @@ def infer_separators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .otherwise(F.struct(F.lit("").alias("thousand"), F.lit(".").alias("decimal")))
         )
         aggregates.append(F.struct(F.lit(name).alias("column"), notation.alias("notation")).alias(f"_{len(aggregates)}"))
-    one = df.agg(*aggregates)
+    one = digits.agg(*aggregates)
     return one.select(F.explode(F.array(*one.columns)).alias("r")).select(
         "r.column", F.col("r.notation.thousand").alias("thousand_sep"), F.col("r.notation.decimal").alias("decimal_sep")
     )

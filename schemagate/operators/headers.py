@@ -68,7 +68,7 @@ def greedy_matches(
     candidate = F.struct(
         (-F.col("best")).alias("by_best"), "target_pos", "rank", "target", "header", "position", "similarity"
     )
-    files = ranked.groupBy("file_id").agg(F.array_sort(F.collect_list(candidate)).alias("candidates"))
+    files = ranked.groupBy("file_id").agg(F.sort_array(F.collect_list(candidate)).alias("candidates"))
     empty = F.expr("slice(candidates, 1, 0)")
 
     def take(chosen, x):
@@ -133,10 +133,9 @@ def match_report(headers: DataFrame, targets: Sequence[str], matches: DataFrame)
 def detect_header_rows(rows: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
     """First best-scoring row among the first rows of each file (``file_id``, ``row_id``, ``cells``)."""
     scored = rows.filter(F.col("row_id") < scan_rows).withColumn("score", header_row_score(F.col("cells")))
-    best = scored.filter(F.col("score") > 0).groupBy("file_id").agg(
-        F.max(F.struct("score", (-F.col("row_id")).alias("first"), "cells")).alias("b")
-    )
-    return best.select(
+    best = scored.groupBy("file_id").agg(F.max(F.struct("score", (-F.col("row_id")).alias("first"), "cells")).alias("b"))
+    # Filtered last: a filter on the score before the aggregate would compute every score twice.
+    return best.filter(F.col("b.score") > 0).select(
         "file_id", (-F.col("b.first")).alias("header_row"), F.col("b.score").alias("score"), F.col("b.cells").alias("headers")
     )
 

@@ -269,26 +269,29 @@ def nested_lines(
 ) -> DataFrame:
     """Invoices with their lines in an array: one row per invoice, several for very long ones.
 
-    Columns: invoice_id, part_no (from 0), n_parts, first_line, lines, line_count, net, tax,
-    payable, carry. The lines of usual invoices are gathered in one shuffle. Only invoices with
+    Columns: invoice_id, part_no (from 0), n_parts, first_line, lines, illegal_lines, line_count,
+    net, tax, payable, carry. The lines of usual invoices are gathered in one shuffle. Only invoices with
     more than ``part_lines`` lines, at most ``rows / part_lines`` of them, are numbered and cut
     into parts first. To find those, ``ids`` may give the invoice_id of each line more cheaply.
     """
     slim = lines.select(*dict.fromkeys(["invoice_id", *order, *LINE_FIELDS, "line_tax", *carry]))
     big = F.broadcast(hot_keys(slim if ids is None else ids, ["invoice_id"], part_lines))
     item = F.struct(*order, *[c for c in LINE_FIELDS if c not in order])
+    bad = F.bool_or(_illegal(F.col("description"))).alias("illegal_lines")
     totals = [_total("line_net").alias("net"), _total("line_tax").alias("tax")]
     first = [F.min_by(F.struct(*carry), F.struct(*order)).alias("first")] if carry else []
     carried = [F.col(f"first.{c}") for c in carry]
     payable = (F.col("net") + F.col("tax")).cast(MONEY_TYPE).alias("payable")
 
     usual = (
+        # Gathering lines shrinks nothing, so they are shuffled as they are and gathered after.
         slim.join(big, "invoice_id", "left_anti")
+        .repartition("invoice_id")
         .groupBy("invoice_id")
-        .agg(F.array_sort(F.collect_list(item)).alias("lines"), *totals, *first)
+        .agg(F.sort_array(F.collect_list(item)).alias("lines"), bad, *totals, *first)
         .select(
             "invoice_id", F.lit(0).cast("bigint").alias("part_no"), F.lit(1).cast("bigint").alias("n_parts"),
-            F.lit(1).cast("bigint").alias("first_line"), "lines",
+            F.lit(1).cast("bigint").alias("first_line"), "lines", "illegal_lines",
             F.size("lines").cast("bigint").alias("line_count"), "net", "tax", payable, *carried,
         )
     )
@@ -298,7 +301,7 @@ def nested_lines(
     parts = (
         numbered.withColumn("part_no", F.floor((F.col("line_no") - 1) / part_lines).cast("bigint"))
         .groupBy("invoice_id", "part_no")
-        .agg(F.array_sort(F.collect_list(item)).alias("lines"), F.min("line_no").alias("first_line"))
+        .agg(F.sort_array(F.collect_list(item)).alias("lines"), F.min("line_no").alias("first_line"), bad)
     )
     whole = (
         slim.join(big, "invoice_id", "left_semi")
@@ -314,7 +317,7 @@ def nested_lines(
 
 
 def documents(invoices: DataFrame, currency: Column | str = CURRENCY) -> DataFrame:
-    """Add ``document``, the text of each part, and ``illegal``, whether XML forbids it.
+    """Add ``document``, the text of each part; ``illegal`` tells whether XML forbids it.
 
     Takes nested invoices joined with issue_date and the supplier and customer fields.
     """
@@ -322,12 +325,17 @@ def documents(invoices: DataFrame, currency: Column | str = CURRENCY) -> DataFra
     body = F.array_join(
         F.transform("lines", lambda line, i: line_xml(F.col("first_line") + i, line, currency)), ""
     )
+    # Only these fields come from outside; the numbers need no check.
+    texts = [c for c in columns if c in ("invoice_id", "issue_date") or c.split("_")[0] in ("supplier", "customer")]
+    illegal = F.col("illegal_lines")
+    for c in texts:
+        illegal = illegal | _illegal(F.col(c).cast("string"))
     head = F.when(F.col("part_no") == 0, head_xml(columns, currency)).otherwise(F.lit(""))
     tail = F.when(F.col("part_no") == F.col("n_parts") - 1, tail_xml(currency)).otherwise(F.lit(""))
     return (
         invoices.withColumn("document", F.concat(head, body, tail))
-        .withColumn("illegal", _illegal(F.col("document")))
-        .drop("lines", "first_line")
+        .withColumn("illegal", illegal)
+        .drop("lines", "first_line", "illegal_lines")
     )
 
 
@@ -347,7 +355,7 @@ def registry(docs: DataFrame, unique_names: bool = False) -> DataFrame:
     single = summed.filter(F.col("n_parts") == 1).select(*kept, F.col("sha").alias("checksum"))
 
     def chained(step: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct(step, "sha")))
+        ordered = F.sort_array(F.collect_list(F.struct(step, "sha")))
         return F.sha2(F.array_join(F.transform(ordered, lambda x: x["sha"]), ""), 256).alias("sha")
 
     flag = F.bool_or("illegal").alias("illegal")

@@ -36,17 +36,23 @@ def delimiter_detect(spark, sf):
     return load(spark, sf, "documents").select("doc_id", op.detect_delimiter(F.expr(SEPARATED), None).alias("delimiter"))
 
 
-@query("""select doc_id, row_id, len(cells) as width, md5(array_to_string(cells, '|')) as digest from (select doc_id, row_id, string_split(line, ',') as cells
-  from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as row_id
-        from (select doc_id, replace(text, '"', '') as text from documents)))""")
+@query("""select doc_id, row_id, len(string_split(line, ',')) as width, md5(replace(line, ',', '|')) as plain,
+  md5(line || '|' || row_id || '||"x"') as quoted from (select doc_id, unnest(string_split(text, chr(10))) as line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 as row_id from (select doc_id, replace(text, '"', '') as text from documents))""")
 def delimited_rows(spark, sf):
-    """Lines of the documents as rows of cells; every other cell is quoted, so that its commas would not count."""
+    """Lines of the documents as rows of cells: as they are, and as one quoted cell among others."""
     lines = load(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split(F.replace("text", F.lit('"'), F.lit("")), "\n")).alias("row_id", "line")
     )
-    quoted = F.regexp_replace("line", "([^,]+),([^,]+)", '"$1",$2')
-    return lines.select("doc_id", F.col("row_id").cast("bigint").alias("row_id"), op.split_cells(quoted, F.lit(",")).alias("cells")).select(
-        "doc_id", "row_id", F.size("cells").cast("bigint").alias("width"), F.md5(F.array_join("cells", "|")).alias("digest")
+    comma = F.lit(",")
+    wrapped = F.concat(F.lit('"'), F.col("line"), F.lit('",'), F.col("row_id").cast("string"), F.lit(',,"""x"""'))
+    cells = lines.select(
+        "doc_id", F.col("row_id").cast("bigint").alias("row_id"), op.split_cells(F.col("line"), comma).alias("cells"),
+        op.split_cells(wrapped, comma).alias("wrapped"),
+    )
+    return cells.select(
+        "doc_id", "row_id", F.size("cells").cast("bigint").alias("width"), F.md5(F.array_join("cells", "|")).alias("plain"),
+        F.md5(F.array_join("wrapped", "|")).alias("quoted"),
     )
 
 

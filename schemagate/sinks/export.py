@@ -81,7 +81,7 @@ def metadata(
 
     def listed(table: DataFrame, name: str) -> DataFrame:
         # One entry per column or file of the table.
-        entries = F.array_sort(F.collect_list(F.struct(*table.columns)))
+        entries = F.sort_array(F.collect_list(F.struct(*table.columns)))
         return table.agg(entries.alias(name)).withColumn("k", F.lit(1))
 
     described = F.struct(

@@ -102,7 +102,8 @@ def detect_delimiter(text: Column, sample_chars: int | None = SAMPLE_CHARS) -> C
 def split_cells(line: Column, delimiter: Column) -> Column:
     """Cells of a delimited line; quoted cells may hold delimiters and doubled quotes."""
     escaped = F.when(delimiter == "|", r"\|").otherwise(delimiter)
-    pattern = F.concat(escaped, F.lit('("(?:[^"]|"")*"|[^'), escaped, F.lit("]*)"))
+    # Possessive, so that long cells neither backtrack nor recurse.
+    pattern = F.concat(escaped, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^'), escaped, F.lit("]*+)"))
     cells = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
     return F.transform(
         cells,
