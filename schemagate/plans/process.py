@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timedelta
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,14 +95,18 @@ def process_and_export(
     metrics, so the input is parsed a single time and lost executors cost no recomputation of it.
     """
     spark = df.sparkSession
+    began = time.monotonic()
+
+    def clock() -> datetime:
+        return now + timedelta(seconds=time.monotonic() - began)
 
     def event(status: str, **fields) -> None:
-        row = {"id": run_id, "dataset_id": dataset_id, "event_at": now, "status": status, **fields}
+        row = {"id": run_id, "dataset_id": dataset_id, "event_at": clock(), "status": status, **fields}
         catalog.append(catalog.rows(spark, "run_events", row), catalog_root, "run_events")
 
     def stage(name: str, metrics: Mapping[str, float], **fields) -> None:
         row = {
-            "dataset_id": dataset_id, "run_id": run_id, "stage": name, "status": "completed", "event_at": now,
+            "dataset_id": dataset_id, "run_id": run_id, "stage": name, "status": "completed", "event_at": clock(),
             "metrics": {k: float(v) for k, v in metrics.items()}, **fields,
         }
         catalog.append(catalog.rows(spark, "stage_events", row), catalog_root, "stage_events")
@@ -132,11 +137,11 @@ def process_and_export(
             record_artifacts(spark, run_id, path, kind, catalog_root, now)
         stage("export", {"files": len(kinds)})
         event(
-            "completed", finished_at=now, rows_processed=metrics["input_rows"], rows_valid=metrics["output_rows"],
+            "completed", finished_at=clock(), rows_processed=metrics["input_rows"], rows_valid=metrics["output_rows"],
             rows_invalid=metrics["rows_invalid"], message="processing completed",
         )
     except Exception as e:
-        event("failed", finished_at=now, message=str(e)[:2000])
+        event("failed", finished_at=clock(), message=str(e)[:2000])
         raise
     return {"run_id": run_id, "paths": kinds, "metrics": metrics, "confidence": done.confidence}
 

@@ -189,7 +189,8 @@ def read_delimited(
     names = list(columns) if columns else reader.csv(path).columns
     df = (
         reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", "true")
+        # Cells must be counted even when a query needs only some of the columns.
+        .option("columnPruning", "false")
         .schema(string_schema([*names, CORRUPT])).csv(path)
         .withColumn("file_path", F.col("_metadata.file_path"))
         .withColumn("row_id", F.monotonically_increasing_id())
@@ -199,9 +200,11 @@ def read_delimited(
 
 def quarantine(df: DataFrame) -> DataFrame:
     """Lines whose cell count differs from the header's."""
-    # Spark forbids a scan of the corrupt column alone, so a data column stays in the projection.
     keep = [c for c in df.columns if c in ("file_path", "row_id")]
-    return df.filter(F.col(CORRUPT).isNotNull()).select(*keep, CORRUPT)
+    # Spark refuses to scan the corrupt column alone, so the filter looks at a data column as well.
+    data = next(c for c in df.columns if c not in (*keep, CORRUPT))
+    scanned = F.length(F.coalesce(F.col(f"`{data}`"), F.lit(""))) >= 0
+    return df.filter(F.col(CORRUPT).isNotNull() & scanned).select(*keep, CORRUPT)
 
 
 def well_formed(df: DataFrame) -> DataFrame:

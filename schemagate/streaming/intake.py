@@ -17,7 +17,7 @@ from schemagate.operators.normalize import apply_mapping, drop_empty_rows, norma
 from schemagate.operators.validate import ERRORS, has_error, validate
 from schemagate.plans.skew import digest
 from schemagate.profiles import Profile
-from schemagate.sources.files import CORRUPT, string_schema
+from schemagate.sources.files import CORRUPT, quarantine, string_schema, well_formed
 
 ROW_ID = "row_id"
 
@@ -30,7 +30,7 @@ def landed_rows(
         spark.readStream.schema(string_schema([*columns, CORRUPT]))
         .option("header", "true").option("sep", delimiter).option("encoding", encoding)
         .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", "false")
         .csv(path)
         .withColumn("file_path", F.col("_metadata.file_path"))
     )
@@ -42,8 +42,8 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
 
 def validate_batch(batch: DataFrame, batch_id: int, profile: Profile, mapping: Mapping[str, str], out: str) -> None:
     """Quarantine, normalize and validate one batch; write valid rows, errors and an event."""
-    whole = batch.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    _write(batch.filter(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT), f"{out}/quarantine", batch_id)
+    whole = well_formed(batch)
+    _write(quarantine(batch), f"{out}/quarantine", batch_id)
     data = [c for c in whole.columns if c != "file_path"]
     # Row identity by content: the same whenever the batch is repeated.
     keyed = drop_empty_rows(whole, data).withColumn(
