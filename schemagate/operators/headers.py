@@ -49,18 +49,26 @@ def header_pairs(headers: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 
 def greedy_matches(
-    headers: DataFrame, targets: Sequence[str], min_similarity: float = MIN_SIMILARITY
+    headers: DataFrame,
+    targets: Sequence[str],
+    min_similarity: float = MIN_SIMILARITY,
+    settled: DataFrame | None = None,
 ) -> DataFrame:
     """One-to-one matches per file: targets in order of their best score take their best free header.
 
+    Headers and targets of matches that are ``settled`` already are left out.
+
     Earlier targets can take at most ``len(targets) - 1`` headers, so the best ``len(targets)``
     headers of a target decide its match: what a file brings to one row is bounded by the profile,
     however many headers it has.
     """
     per_target = Window.partitionBy("file_id", "target")
+    pairs = header_pairs(headers, targets).filter(F.col("similarity") >= min_similarity)
+    if settled is not None:
+        for side in ("target", "header"):
+            pairs = pairs.join(settled.select("file_id", side), ["file_id", side], "left_anti")
     ranked = (
-        header_pairs(headers, targets)
-        .filter(F.col("similarity") >= min_similarity)
+        pairs
         .withColumn("rank", F.row_number().over(per_target.orderBy(F.desc("similarity"), "position")))
         .filter(F.col("rank") <= len(targets))
         .withColumn("best", F.max("similarity").over(per_target))
@@ -91,6 +99,22 @@ def alias_matches(headers: DataFrame, profile: Profile) -> DataFrame:
     return found.groupBy("file_id", "target").agg(F.min_by("header", order).alias("header"))
 
 
+def match_files(headers: DataFrame, profile: Profile, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """Matches of every file (file_id, target, header): listed aliases first, similar names for the rest.
+
+    A header that is an alias of two targets goes to the first of them.
+    """
+    rank = F.create_map(*[x for i, t in enumerate(profile.targets) for x in (F.lit(t), F.lit(i))])
+    listed = (
+        alias_matches(headers, profile)
+        .groupBy("file_id", "header")
+        .agg(F.min_by("target", F.element_at(rank, F.col("target"))).alias("target"))
+        .select("file_id", "target", "header")
+    )
+    similar = greedy_matches(headers, profile.targets, min_similarity, listed)
+    return listed.unionByName(similar.select("file_id", "target", "header"))
+
+
 def bootstrap_profile(
     headers: DataFrame, targets: Sequence[str], min_similarity: float = BOOTSTRAP_SIMILARITY
 ) -> DataFrame:
@@ -140,6 +164,19 @@ def detect_header_rows(rows: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> Da
     )
 
 
+def locate_headers(rows: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """Header row of each file: its first row, or the best-looking later one if that says nothing."""
+    first = rows.filter(F.col("row_id") == 0).select("file_id", F.col("cells").alias("first_cells"))
+    found = detect_header_rows(rows, scan_rows)
+    unnamed = F.forall("first_cells", lambda c: F.coalesce(c, F.lit("")).rlike(r"^(|Unnamed:.*|Column_.*|\d+)$"))
+    use_found = unnamed & F.col("header_row").isNotNull()
+    return first.join(found, "file_id", "left").select(
+        "file_id",
+        F.when(use_found, F.col("header_row")).otherwise(F.lit(0)).cast("bigint").alias("header_row"),
+        F.when(use_found, F.col("headers")).otherwise(F.col("first_cells")).alias("cells"),
+    )
+
+
 def header_table(spark: SparkSession, names: Sequence[str], file_id: str = "") -> DataFrame:
     """Header table of one file."""
     return spark.createDataFrame(
@@ -156,18 +193,17 @@ def map_columns(
 ) -> dict[str, tuple[str, float]]:
     """Target to (source, similarity) for one file: listed aliases first, similar names for the rest."""
     headers = header_table(spark, names)
-    matches: dict[str, tuple[str, float]] = {}
-    if use_aliases:
-        for row in alias_matches(headers, profile).collect():
-            if row.header not in {s for s, _ in matches.values()}:
-                matches[row.target] = (row.header, 1.0)
-    used = {s for s, _ in matches.values()}
-    rest = [t for t in profile.targets if t not in matches]
-    free = headers.filter(~F.col("header").isin(sorted(used))) if used else headers
-    if rest:
-        for row in greedy_matches(free, rest, min_similarity).collect():
-            matches[row.target] = (row.header, row.similarity)
-    return matches
+    listed = match_files(headers, profile, min_similarity) if use_aliases else None
+    if listed is None:
+        found = greedy_matches(headers, profile.targets, min_similarity).select("target", "header", "similarity")
+    else:
+        score = similarity(normalize_header(F.col("header")), normalize_header(F.col("target")))
+        aliases = {(t, a) for t, a, _ in profile.aliases()}
+        found = listed.select("target", "header", score.alias("similarity"))
+        return {
+            r.target: (r.header, 1.0 if (r.target, r.header.lower()) in aliases else r.similarity) for r in found.collect()
+        }
+    return {r.target: (r.header, r.similarity) for r in found.collect()}
 
 
 def column_mapping(matches: dict[str, tuple[str, float]]) -> dict[str, str]:

@@ -11,13 +11,15 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagate.operators import catalog
+from schemagate.functions.text import WORKBOOK_NULL_TOKENS
+from schemagate.operators import catalog, headers
 from schemagate.operators.headers import column_mapping, map_columns
-from schemagate.operators.normalize import apply_mapping, drop_empty_rows, normalize_table
+from schemagate.operators.normalize import apply_mapping, clean_cells, drop_empty_rows, normalize_table
 from schemagate.operators.profiling import quality_metrics
 from schemagate.operators.validate import Validation, validate
 from schemagate.profiles import Profile
 from schemagate.sinks import export
+from schemagate.sources import files, workbook
 
 
 @dataclass
@@ -62,6 +64,21 @@ def process_table(
     return Processed(data, normalized, checked, matches, unmapped, len(matches) / max(len(profile.columns), 1))
 
 
+def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Validation, DataFrame]:
+    """Map, normalize and validate all admitted files of a folder at once.
+
+    Also returns the matches made for each file. Rows are keyed by ``row_key``: file and row number.
+    """
+    taken = files.admitted(listing, **limits)
+    rows = files.read_mixed(taken).unionByName(workbook.read_workbooks(taken))
+    located = headers.locate_headers(rows)
+    matches = headers.match_files(files.header_table(located), profile)
+    table = files.mapped_table(rows, located, matches, profile.targets)
+    keyed = table.withColumn("row_key", F.concat_ws("#", "file_id", F.col("row_id").cast("string")))
+    cells = clean_cells(keyed.drop("file_id", "row_id"), WORKBOOK_NULL_TOKENS)
+    return validate(normalize_table(drop_empty_rows(cells, profile.targets), profile), profile, "row_key"), matches
+
+
 def run_metrics(done: Processed, key: str) -> DataFrame:
     """One row: rows in and out, columns mapped, score, rows lost."""
     quality = quality_metrics(done.source.drop(key), done.valid.drop(key))
@@ -148,8 +165,8 @@ def process_and_export(
 
 def record_artifacts(spark: SparkSession, run_id: str, path: str, kind: str, catalog_root: str, now: datetime) -> None:
     """Append the data files under ``path`` to the artifacts of a run."""
-    files = export.manifest(spark, path, kind).filter(~F.col("path").rlike(r"/[._][^/]*$"))
-    found = files.select(
+    written = export.manifest(spark, path, kind).filter(~F.col("path").rlike(r"/[._][^/]*$"))
+    found = written.select(
         F.sha2(F.concat(F.lit(run_id), F.col("path")), 256).alias("id"), F.lit(run_id).alias("run_id"), "kind", "path",
         "checksum", "size_bytes", "mime_type", F.lit(now).alias("created_at"),
     )

@@ -139,28 +139,29 @@ def read_mixed(
     )
 
 
-def header_rows(rows: DataFrame) -> DataFrame:
-    """Header table of the files: the cells of their first rows."""
-    return rows.filter(F.col("row_id") == 0).select(
-        "file_id", F.posexplode("cells").alias("position", "header")
-    )
+def header_table(located: DataFrame) -> DataFrame:
+    """Header table (file_id, position, header) of files whose header rows are located."""
+    named = located.select("file_id", F.posexplode("cells").alias("position", "header"))
+    return named.filter(F.length(F.col("header")) > 0)
 
 
-def mapped_table(rows: DataFrame, headers: DataFrame, mapping: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Target columns of files whose headers are matched: one wide table over all of them.
+def mapped_table(rows: DataFrame, located: DataFrame, matches: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """One wide table over all files: the cells under the matched headers, as text.
 
-    ``mapping`` has file_id, target, header; ``headers`` the position of each header.
+    ``located`` has the header row of each file, ``matches`` its (file_id, target, header).
     """
-    positions = mapping.join(headers, ["file_id", "header"]).groupBy("file_id").agg(
-        # Two arrays of one entry per target: as wide as the profile.
-        F.collect_list("target").alias("ts"), F.collect_list("position").alias("ps")
-    )
-    data = rows.filter(F.col("row_id") > 0).join(positions, "file_id")
-    slot = F.map_from_arrays("ts", "ps")
-    at = data.withColumn("slot", slot)
-    return at.select(
-        "file_id", "row_id", *[F.get("cells", F.try_element_at("slot", F.lit(t))).alias(t) for t in targets]
+    positions = (
+        matches.join(header_table(located), ["file_id", "header"])
+        .groupBy("file_id", "target")
+        .agg(F.min("position").alias("position"))
+        .groupBy("file_id")
+        # One entry per target: as wide as the profile.
+        .agg(F.map_from_entries(F.collect_list(F.struct("target", "position"))).alias("slot"))
     )
+    files = located.select("file_id", "header_row").join(positions, "file_id")
+    data = rows.join(files, "file_id").filter(F.col("row_id") > F.col("header_row"))
+    cells = [F.get("cells", F.try_element_at("slot", F.lit(t))).alias(t) for t in targets]
+    return data.select("file_id", "row_id", *cells)
 
 
 def string_schema(columns: Sequence[str]) -> StructType:

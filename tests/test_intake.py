@@ -1,11 +1,13 @@
 import os
 import zipfile
+from decimal import Decimal
 
 from conftest import rows
 from pyspark.sql import functions as F
 
 from schemagate.operators import headers as matching
 from schemagate.operators import normalize
+from schemagate.plans.process import process_files
 from schemagate.profiles import load_profile
 from schemagate.sources import files, workbook
 
@@ -33,17 +35,30 @@ def test_mixed_folder(spark, tmp_path):
         ("a.csv", 0, "Period#Planned Amount"), ("a.csv", 1, '2025-01#1,5 "x"'), ("a.csv", 2, "2025-02#3"),
         ("b.csv", 0, "Период#Планирана сума"), ("b.csv", 1, "2025-03#150 000,50"), ("c.tsv", 0, "Dept#Status"), ("c.tsv", 1, "x#active"),
     ]
-    names = files.header_rows(got)
-    table = files.mapped_table(got, names, matching.alias_matches(names, BUDGET), BUDGET.targets)
-    assert rows(table, "period", "planned_amount", "department") == [
-        ("2025-01", '1,5 "x"', None), ("2025-02", "3", None), ("2025-03", "150 000,50", None), (None, None, "x")
-    ] or len(rows(table)) == 4
+    checked, matches = process_files(listing, BUDGET)
+    assert rows(matches.select(name, "target")) == [
+        ("a.csv", "period"), ("a.csv", "planned_amount"), ("b.csv", "period"), ("b.csv", "planned_amount"),
+        ("c.tsv", "department"), ("c.tsv", "status"),
+    ]
+    table = checked.annotated.select(F.col("period").cast("string"), "planned_amount", "department", "status")
+    assert rows(table) == [
+        (None, None, "X", "active"), ("2025-01-01", None, None, None), ("2025-02-01", Decimal("3.000000"), None, None),
+        ("2025-03-01", Decimal("150000.500000"), None, None),
+    ]
     skipped = files.read_mixed(files.admitted(listing), skip_rows=1, max_rows=1)
     assert skipped.filter("row_id = 0 and file_id like '%b.csv'").first().cells == ["2025-03", "150 000,50"]
     sums = files.checksums(listing)
     assert sums.filter(F.length("checksum") == 64).count() == 4
 
 
+def test_generic_header_row(spark, tmp_path):
+    base = str(tmp_path / "g")
+    write(f"{base}/x.csv", "Column_1,Column_2\nmay,7\nPeriod,Department name\n2025-01,roads\n")
+    checked, matches = process_files(files.list_files(spark, base), BUDGET)
+    assert rows(matches, "target", "header") == [("department", "Department name"), ("period", "Period")]
+    assert rows(checked.annotated.select(F.col("period").cast("string"))) == [("2025-01-01",)]
+
+
 def test_uniform_files(spark, tmp_path):
     path = write(str(tmp_path / "u" / "x.csv"), 'a,b,c\n1,"2\n3",4\n')
     df = files.read_delimited(spark, path, multiline=True)
