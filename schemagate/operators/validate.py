@@ -17,7 +17,9 @@ from schemagate.plans.skew import HOT_ROWS, flag_repeated
 from schemagate.profiles import FieldSpec, Profile
 
 ERRORS = "errors"
+EXCLUDED = "excluded"
 PARSED = "parsed"
+NO_RECORDS = "cast(array() as array<struct<column:string,reason:string,value:string,severity:string>>)"
 SEVERITIES = ("error", "warning", "info")
 
 # Formats the validator asks for.
@@ -25,115 +27,123 @@ URL_FORMAT = r"(?i)^https?://[\w\-\.]+(:[0-9]+)?(/.*)?$"
 PHONE_FORMAT = r"^[\+]?[\d\s\(\)\-\.]{7,15}$"
 
 
-def record(column: str, reason: Column | str, value: Column, severity: str = "error") -> Column:
-    """Error record of one cell."""
+@dataclass(frozen=True)
+class Rule:
+    """When a row breaks a rule, and the record it then gets."""
+
+    broken: Column
+    record: Column
+    severity: str = "error"
+
+
+def rule(broken: Column, column: str, reason: Column | str, value: Column | None = None, severity: str = "error") -> Rule:
+    """Rule on one cell; the record shows ``value``, by default the cell."""
     reason = F.lit(reason) if isinstance(reason, str) else reason
-    return F.struct(
+    value = F.col(column) if value is None else value
+    record = F.struct(
         F.lit(column).alias("column"),
         reason.alias("reason"),
         F.coalesce(value.cast("string"), F.lit("")).alias("value"),
         F.lit(severity).alias("severity"),
     )
+    return Rule(F.coalesce(broken, F.lit(False)), record, severity)
 
 
-def required(name: str) -> Column:
-    c = F.col(name)
-    return F.when(c.isNull(), record(name, "required_field_missing", c))
+def required(name: str) -> Rule:
+    return rule(F.col(name).isNull(), name, "required_field_missing")
 
 
-def numeric_rules(name: str, kind: str, parsed: Column, low=None, high=None) -> list[Column]:
+def numeric_rules(name: str, kind: str, parsed: Column, low=None, high=None) -> list[Rule]:
     """Type check, then range checks for cells that pass it; ``parsed`` is the cell as a number."""
-    c = F.col(name)
-    bad = F.when(c.isNotNull() & parsed.isNull(), record(name, "not_numeric", c))
+    rules = [rule(F.col(name).isNotNull() & parsed.isNull(), name, "not_numeric")]
     ok = parsed.isNotNull()
     if kind == "integer":
         whole = parsed == F.floor(parsed)
-        bad = bad.when(ok & ~whole, record(name, "not_integer", c))
-        ok = ok & whole
-    rules = [bad]
+        rules.append(rule(~whole, name, "not_integer"))
+        ok = whole
     if low is not None:
-        rules.append(F.when(ok & (parsed < F.lit(low)), record(name, f"below_minimum:{low}", c)))
+        rules.append(rule(ok & (parsed < F.lit(low)), name, f"below_minimum:{low}"))
     if high is not None:
-        rules.append(F.when(ok & (parsed > F.lit(high)), record(name, f"above_maximum:{high}", c)))
+        rules.append(rule(ok & (parsed > F.lit(high)), name, f"above_maximum:{high}"))
     return rules
 
 
-def length_rules(name: str, shortest: int | None = None, longest: int | None = None) -> list[Column]:
-    c = F.col(name)
-    size = F.length(c.cast("string"))
+def length_rules(name: str, shortest: int | None = None, longest: int | None = None) -> list[Rule]:
+    size = F.length(F.col(name).cast("string"))
     rules = []
     if shortest is not None:
-        rules.append(F.when(size < shortest, record(name, f"too_short:{shortest}", c)))
+        rules.append(rule(size < shortest, name, f"too_short:{shortest}"))
     if longest is not None:
-        rules.append(F.when(size > longest, record(name, f"too_long:{longest}", c)))
+        rules.append(rule(size > longest, name, f"too_long:{longest}"))
     return rules
 
 
-def pattern_rule(name: str, pattern: str) -> Column | None:
+def pattern_rule(name: str, pattern: str) -> Rule | None:
     """Pattern anchored at the start only; a pattern that does not compile is no rule."""
     try:
         re.compile(pattern)
     except re.error:
         return None
-    c = F.col(name)
-    return F.when(~c.cast("string").rlike(f"^(?:{pattern})"), record(name, f"pattern_mismatch:{pattern}", c))
+    return rule(~F.col(name).cast("string").rlike(f"^(?:{pattern})"), name, f"pattern_mismatch:{pattern}")
 
 
-def email_rule(name: str) -> Column:
-    c = F.col(name)
-    return F.when(~strip(c).rlike(EMAIL_PATTERN), record(name, "invalid_email_format", c))
+def email_rule(name: str) -> Rule:
+    return rule(~strip(F.col(name)).rlike(EMAIL_PATTERN), name, "invalid_email_format")
 
 
-def url_rule(name: str) -> Column:
-    c = F.col(name)
-    return F.when(~strip(c).rlike(URL_FORMAT), record(name, "invalid_url_format", c))
+def url_rule(name: str) -> Rule:
+    return rule(~strip(F.col(name)).rlike(URL_FORMAT), name, "invalid_url_format")
 
 
-def phone_rule(name: str) -> Column:
-    c = F.col(name)
-    return F.when(~strip(c).rlike(PHONE_FORMAT), record(name, "invalid_phone_format", c))
+def phone_rule(name: str) -> Rule:
+    return rule(~strip(F.col(name)).rlike(PHONE_FORMAT), name, "invalid_phone_format")
 
 
-def date_rules(name: str, parsed: Column, first: str | None = None, last: str | None = None) -> list[Column]:
-    c = F.col(name)
-    rules = [F.when(c.isNotNull() & parsed.isNull(), record(name, "invalid_date_format", c))]
+def date_rules(name: str, parsed: Column, first: str | None = None, last: str | None = None) -> list[Rule]:
+    rules = [rule(F.col(name).isNotNull() & parsed.isNull(), name, "invalid_date_format")]
     if first:
-        rules.append(F.when(parsed < F.lit(first).cast("date"), record(name, f"date_before_minimum:{first}", c)))
+        rules.append(rule(parsed < F.lit(first).cast("date"), name, f"date_before_minimum:{first}"))
     if last:
-        rules.append(F.when(parsed > F.lit(last).cast("date"), record(name, f"date_after_maximum:{last}", c)))
+        rules.append(rule(parsed > F.lit(last).cast("date"), name, f"date_after_maximum:{last}"))
     return rules
 
 
-def enum_rule(name: str, allowed: Iterable) -> Column:
-    c = F.col(name)
+def enum_rule(name: str, allowed: Iterable) -> Rule:
     values = sorted({str(v) for v in allowed})
-    reason = f"not_in_allowed_values:{','.join(values)}"
-    return F.when(~strip(c.cast("string")).isin(values), record(name, reason, c))
+    return rule(~strip(F.col(name).cast("string")).isin(values), name, f"not_in_allowed_values:{','.join(values)}")
 
 
-def unique_rule(name: str, flag: str) -> Column:
-    return F.when(F.col(flag), record(name, "duplicate_value", F.col(name)))
+def unique_rule(name: str, flag: str) -> Rule:
+    return rule(F.col(flag), name, "duplicate_value")
 
 
-def cross_rules(profile: Profile, columns: Iterable[str]) -> list[Column]:
+def cross_rules(profile: Profile, columns: Iterable[str]) -> list[Rule]:
     """Rules over several columns; each applies where its columns exist and hold values.
 
     Their expressions read the struct ``parsed``, which holds each column as its declared type.
     """
     rules = []
-    for rule in profile.cross_rules:
-        if not set(rule.needs) <= set(columns):
+    for spec in profile.cross_rules:
+        if not set(spec.needs) <= set(columns):
             continue
-        holds = F.expr(rule.condition)
-        for need in rule.needs:
-            holds = F.col(f"{PARSED}.{need}").isNotNull() & holds
-        rules.append(F.when(holds, record(rule.column, F.expr(rule.reason), F.col(rule.column), rule.severity)))
+        broken = F.expr(spec.condition)
+        for need in spec.needs:
+            broken = F.col(f"{PARSED}.{need}").isNotNull() & broken
+        rules.append(rule(broken, spec.column, F.expr(spec.reason), severity=spec.severity))
     return rules
 
 
-def with_errors(df: DataFrame, rules: list[Column]) -> DataFrame:
-    """Add the array of error records that the rules yield for each row."""
-    return df.withColumn(ERRORS, F.array_compact(F.array(*rules)))
+def with_errors(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add the error records of each row, and whether any of them excludes it.
+
+    The flag is made of the conditions alone, so that picking valid rows builds no records.
+    """
+    excluded = F.lit(False)
+    for r in rules:
+        if r.severity == "error":
+            excluded = excluded | r.broken
+    records = F.array_compact(F.array(*[F.when(r.broken, r.record) for r in rules])) if rules else F.expr(NO_RECORDS)
+    return df.withColumns({ERRORS: records, EXCLUDED: excluded})
 
 
 def error_rows(annotated: DataFrame, key: str) -> DataFrame:
@@ -141,13 +151,8 @@ def error_rows(annotated: DataFrame, key: str) -> DataFrame:
     return annotated.select(F.col(key).alias("row_id"), F.explode(ERRORS).alias("e")).select("row_id", "e.*")
 
 
-def has_error() -> Column:
-    """Whether a row has a record that excludes it."""
-    return F.exists(ERRORS, lambda e: e["severity"] == "error")
-
-
 def valid_rows(annotated: DataFrame) -> DataFrame:
-    return annotated.filter(~has_error()).drop(ERRORS)
+    return annotated.filter(~F.col(EXCLUDED)).drop(ERRORS, EXCLUDED)
 
 
 def rows_without_errors(df: DataFrame, errors: DataFrame, key: str) -> DataFrame:
@@ -188,7 +193,7 @@ class Validation:
 
 def _field_rules(name: str, spec: FieldSpec, profile: Profile, numbers: dict[str, str], days: dict[str, str]):
     checks = spec.validation or {}
-    rules: list[Column | None] = []
+    rules: list[Rule | None] = []
     if spec.required:
         rules.append(required(name))
     if name in numbers:
@@ -251,10 +256,10 @@ def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS
         raw = f"{name}__raw"
         if raw in types:
             reason = "invalid_date_format" if name in days else "not_numeric" if name in numbers else "invalid_value"
-            rules.append(F.when(F.col(name).isNull() & F.col(raw).isNotNull(), record(name, reason, F.col(raw))))
+            rules.append(rule(F.col(name).isNull() & F.col(raw).isNotNull(), name, reason, F.col(raw)))
         field_rules = _field_rules(name, spec, profile, numbers, days)
         if raw in types and spec.required:
-            field_rules[0] = F.when(F.col(raw).isNull(), record(name, "required_field_missing", F.col(name)))
+            field_rules[0] = rule(F.col(raw).isNull(), name, "required_field_missing")
         rules += field_rules
         if name in flags:
             rules.append(unique_rule(name, flags[name]))
@@ -264,9 +269,7 @@ def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS
         df = df.withColumn(PARSED, F.struct(*[_parsed(n, numbers, days) for n in needed]))
         scratch[PARSED] = F.col(PARSED)
     rules += crossed
-    annotated = with_errors(df, rules) if rules else df.withColumn(
-        ERRORS, F.expr("cast(array() as array<struct<column:string,reason:string,value:string,severity:string>>)")
-    )
+    annotated = with_errors(df, rules)
     return Validation(annotated, key, missing, (*scratch, *flags.values()))
 
 
@@ -297,7 +300,7 @@ def summary(annotated: DataFrame, column_errors: int = 0) -> DataFrame:
 
     one = annotated.agg(
         F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(~has_error()).alias("valid_rows"),
+        F.count_if(~F.col(EXCLUDED)).alias("valid_rows"),
         (F.coalesce(F.sum(F.size(ERRORS)), F.lit(0)) + column_errors).cast("bigint").alias("total_errors"),
         *[F.coalesce(count_of(s), F.lit(0)).cast("bigint").alias(f"{s}s") for s in SEVERITIES],
     )

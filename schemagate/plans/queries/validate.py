@@ -262,7 +262,7 @@ def validate_orders_split(spark, sf):
 @query(f"select * from {ORDERS_SQL} where o_orderkey not in (select row_id from ({ORDER_ERRORS}))")
 def valid_via_anti_join(spark, sf):
     checked = checked_orders(spark, sf)
-    return op.rows_without_errors(checked.annotated.drop(op.ERRORS), checked.errors, "o_orderkey").select(
+    return op.rows_without_errors(checked.annotated.drop(op.ERRORS, op.EXCLUDED), checked.errors, "o_orderkey").select(
         "o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate"
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from schemagate.operators.normalize import apply_mapping, drop_empty_rows, normalize_table
-from schemagate.operators.validate import ERRORS, has_error, validate
+from schemagate.operators.validate import ERRORS, EXCLUDED, validate
 from schemagate.plans.skew import digest
 from schemagate.profiles import Profile
 from schemagate.sources.files import CORRUPT, quarantine, string_schema, well_formed
@@ -59,7 +59,7 @@ def validate_batch(batch: DataFrame, batch_id: int, profile: Profile, mapping: M
     _write(
         checked.annotated.groupBy("file_path").agg(
             F.count(F.lit(1)).alias("rows_processed"),
-            F.count_if(~has_error()).alias("rows_valid"),
+            F.count_if(~F.col(EXCLUDED)).alias("rows_valid"),
             F.sum(F.size(ERRORS)).cast("bigint").alias("errors"),
         ),
         f"{out}/events",
