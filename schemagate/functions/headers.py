@@ -44,11 +44,19 @@ def _translate(h: Column) -> Column:
     return h
 
 
+def _fold(stripped: Column) -> Column:
+    """Lower case without combining marks."""
+    return F.regexp_replace(F.lower(stripped), r"\p{M}+", "")
+
+
+def _latin(h: Column) -> Column:
+    """Folded text in Latin letters; one test spares most headers the list of replacements."""
+    return F.when(h.rlike(_TRANSLATABLE), _translate(h)).otherwise(h)
+
+
 def normalize_header(c: Column) -> Column:
     """Lower-case Latin words joined by underscores; empty for null."""
-    h = F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"\p{M}+", "")
-    # One test spares most headers the whole list of replacements.
-    h = F.when(h.rlike(_TRANSLATABLE), _translate(h)).otherwise(h)
+    h = _latin(_fold(strip(F.coalesce(c, F.lit("")))))
     h = F.regexp_replace(h, r"(?U)[^\w\s]", " ")
     h = F.regexp_replace(strip(h), r"(?U)\s+", "_")
     return F.btrim(h, F.lit("_"))
@@ -70,10 +78,9 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).when(a == b, 1.0).otherwise(score)
 
 
-def _cell_score(cell: Column) -> Column:
-    s = strip(cell)
-    normal = normalize_header(s)
-    hinted = normal.rlike("|".join(HEADER_HINTS))
+def _cell_score(s: Column, folded: Column) -> Column:
+    # Hints are letters only, so separators need not be normalized to find them.
+    hinted = _latin(folded).rlike("|".join(HEADER_HINTS))
     marked = s.rlike("^(?:" + "|".join(ROW_MARKERS) + ")")
 
     def tenths(condition: Column, n: int) -> Column:
@@ -92,7 +99,10 @@ def _cell_score(cell: Column) -> Column:
 
 def header_row_score(cells: Column) -> Column:
     """How much a row of cells looks like headers: points per cell over the width of the row."""
-    points = F.aggregate(F.transform(cells, _cell_score), F.lit(0), lambda acc, x: acc + x)
+    # Step by step, as a lambda evaluates an expression again wherever it is used.
+    stripped = F.transform(cells, strip)
+    prepared = F.transform(stripped, lambda s: F.struct(s.alias("s"), _fold(s).alias("folded")))
+    points = F.aggregate(prepared, F.lit(0), lambda acc, x: acc + _cell_score(x["s"], x["folded"]))
     return F.when(F.size(cells) > 0, points / (F.size(cells) * 10)).otherwise(0.0)
 
 
