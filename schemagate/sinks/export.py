@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from schemagate import __version__
 from schemagate.functions.text import mime_type
@@ -168,8 +168,10 @@ def export_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_document_files(named: DataFrame, directory: str) -> int:
-    """One file per row of (file_path, document) in a directory that all executors share.
+    """One file per document (file_path, part_no, n_parts, document) in a directory all executors share.
 
+    The parts of a document too long for one row become numbered files; invoices without a path,
+    those in error, are passed over.
     A file is written under a passing name and then renamed, so a re-run task only repeats itself.
     """
     def write(batches: Iterator) -> Iterator:
@@ -185,5 +187,9 @@ def write_document_files(named: DataFrame, directory: str) -> int:
             yield pd.DataFrame({"n": [len(batch)]})
 
     os.makedirs(directory, exist_ok=True)
-    written = named.select("file_path", "document").mapInPandas(write, "n bigint")
+    numbered = F.concat("file_path", F.lit("."), F.lpad(F.col("part_no").cast("string"), 8, "0"))
+    files = named.filter(F.col("file_path") != "").select(
+        F.when(F.col("n_parts") > 1, numbered).otherwise(F.col("file_path")).alias("file_path"), "document"
+    )
+    written = files.mapInPandas(write, "n bigint")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -5,7 +5,6 @@ from decimal import Decimal
 from conftest import rows
 from pyspark.sql import functions as F
 
-from schemagate.operators import headers as matching
 from schemagate.operators import normalize
 from schemagate.plans.process import process_files
 from schemagate.profiles import load_profile

@@ -70,10 +70,12 @@ def test_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "docs")).count() == 1
 
 
-def test_bad_invoice_fails_alone(spark):
+def test_bad_invoice_fails_alone(spark, tmp_path):
     bad = [(2, "INV-2", "2025-01-11", "S\x07", "C", "x", "1", "1", None), (3, "INV-3", "2025-01-11", "S", "C", None, "n/a", "1", None)]
-    _, registry = invoices.invoice_batch(spark.createDataFrame(DATA + bad, COLUMNS), PROFILE, "row_id")
+    docs, registry = invoices.invoice_batch(spark.createDataFrame(DATA + bad, COLUMNS), PROFILE, "row_id")
     got = {r.invoice_id: (r.status, str(r.payable_amount), r.checksum == "") for r in registry.collect()}
+    named = docs.join(registry.select("invoice_id", "file_path"), "invoice_id")
+    assert write_document_files(named, str(tmp_path)) == 2 and len(list(tmp_path.iterdir())) == 2
     assert got == {"INV-1": ("ok", "240.00", False), "INV-2": ("error", "0.00", True), "INV-3": ("ok", "0.00", False)}
 
 
@@ -102,3 +104,12 @@ def test_payload(spark):
                  "<cbc:IdentificationCode>BG</cbc:IdentificationCode>", '<cbc:PayableAmount currencyID="BGN">6.00</cbc:PayableAmount>'):
         assert part in text
     assert text.count("PostalAddress") == 2 and "TaxTotal" not in text
+
+
+def test_files_of_a_document_in_parts(spark, tmp_path):
+    lines = invoices.lines_from_table(spark.createDataFrame(DATA, COLUMNS), PROFILE, "row_id")
+    docs = invoices.documents(invoices.nested_lines(lines, ["row_id"], ["row_id"], invoices.HEAD_FIELDS, part_lines=1))
+    named = docs.join(invoices.registry(docs).select("invoice_id", "file_path"), "invoice_id")
+    assert write_document_files(named, str(tmp_path)) == 2
+    text = "".join(f.read_text("utf-8") for f in sorted(tmp_path.iterdir()))
+    assert text.startswith(DOCUMENT) and text.endswith(SECOND_LINE)
