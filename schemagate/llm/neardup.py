@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemagate.llm.common import keep, mix64, slices, words_of
-from schemagate.llm.graph import components
+from schemagate.llm.graph import components, roots
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -31,8 +31,9 @@ BASE = 1.001
 #: Scale that keeps registers of sets of 1 to about 10^20 elements within 16 bits.
 RATE = 20.0
 #: A pair is dropped unseen if the likelihood of the threshold is below that of the best estimate by this exponent.
-UNLIKELY = 20.0
-BLOCK = 512
+UNLIKELY = 14.0
+#: Members of a block, their shingles, and pairs weighed at once.
+BLOCK, BLOCK_SHINGLES, PAIRS = 512, 500_000, 20_000
 
 
 def shingle_set(words: list[bytes], width: int) -> np.ndarray:
@@ -87,7 +88,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
         return up * np.log(greater) + down * np.log(less) + same * np.log(np.clip(1 - greater - less, 1e-12, 1))
 
     low, high = np.zeros_like(top), top
-    for _ in range(30):  # the likelihood has one peak
+    for _ in range(16):  # the likelihood has one peak
         third = (high - low) / 3
         left = score(low + third) < score(high - third)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
@@ -98,8 +99,31 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
 def possible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Pairs whose set sizes and registers allow the similarity."""
     fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    j, behind = likely_similarity(a, b, n_a.astype(float), n_b.astype(float), percent / 100)
-    return fits & ((j >= percent / 100) | (behind <= UNLIKELY))
+    j, behind = likely_similarity(a[fits], b[fits], n_a[fits].astype(float), n_b[fits].astype(float), percent / 100)
+    fits[fits] = (j >= percent / 100) | (behind <= UNLIKELY)
+    return fits
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: products of slices of their incidence matrix.
+
+    Only elements that two sets hold matter; a slice has a bounded number of columns.
+    """
+    every = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, times = np.unique(every, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    use = times[element] > 1
+    row, element = row[use], column[element[use]]
+    order = np.argsort(element, kind="stable")
+    row, element = row[order], element[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+        a, b = np.searchsorted(element, [low, low + 4096])
+        slice_ = np.zeros((len(sets), 4096), np.float32)
+        slice_[row[a:b], element[a:b] - low] = 1
+        out += (slice_ @ slice_.T).astype(np.int64)
+    return out
 
 
 def _sketched(documents: DataFrame, width: int) -> DataFrame:
@@ -176,35 +200,50 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
     links = _confirmed(fitting.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(weigh, "a bigint, b bigint"), docs, width, percent)
     part = keep(components(links), "dup-part")
 
-    # round two: members of one bucket and different components, block against block
+    # round two: members of one bucket and different components, block against block, on their full texts
     labelled = reps.join(part, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("label"), "n_shingles", "sketch")
     labelled = keep(labelled, "dup-labelled")
-    bands = labelled.select("rep", "label", F.explode(band).alias("bucket"))
-    mixed = bands.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high and n > 2")
-    mixed = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = bands.join(mixed, "bucket").select("bucket", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    bands = labelled.select("rep", "label", "n_shingles", F.posexplode(band).alias("band", "bucket"))
+    mixed = bands.groupBy("band", "bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words")
+    ).where("low != high and n > 2")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("band", "bucket", "centre", blocks.alias("blocks"))
+    member = bands.join(mixed, ["band", "bucket"]).select("band", "bucket", "centre", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    member = keep(member, "dup-members")
     mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    member = member.select("bucket", "rep", "block", F.explode(mates).alias("mates")).join(labelled, "rep")
-    groups = member.groupBy("bucket", "mates").agg(F.collect_list(F.struct("rep", "label", "n_shingles", "block", "sketch")).alias("members"))
+    texts = docs.join(keep(member.select(F.col("rep").alias("doc_id")).distinct(), "dup-wanted"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    member = member.select("band", "bucket", "centre", "rep", "block", F.explode(mates).alias("mates")).join(labelled, "rep").join(texts, "rep")
+    groups = member.groupBy("band", "bucket", "centre", "mates").agg(F.collect_list(F.struct("rep", "label", "n_shingles", "block", "sketch", "text")).alias("members"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mates, members in zip(batch["mates"].to_pylist(), batch["members"], strict=True):
+            for band_, centre, mates_, members in zip(batch["band"].to_pylist(), batch["centre"].to_pylist(), batch["mates"].to_pylist(), batch["members"], strict=True):
                 rows = members.values
                 rep, label, n, block = (rows.field(k).to_numpy() for k in range(4))
                 registers = _registers(rows.field(4))
-                left, right = np.flatnonzero(block == mates["i"]), np.flatnonzero(block == mates["j"])
-                found_a, found_b = [], []
-                for x in left:
-                    y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (mates["i"] != mates["j"]))]
-                    y = y[possible(np.broadcast_to(registers[x], (len(y), registers.shape[1])), registers[y], np.broadcast_to(n[x], len(y)), n[y], percent)] if len(y) else y
-                    found_a.append(np.minimum(rep[x], rep[y]))
-                    found_b.append(np.maximum(rep[x], rep[y]))
-                empty = [np.zeros(0, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a or empty)), pa.array(np.concatenate(found_b or empty))], ["a", "b"])
-
-    rest = groups.mapInArrow(cross, "a bigint, b bigint").distinct()
-    more = _confirmed(rest.join(keep(fitting.select("a", "b"), "dup-seen"), ["a", "b"], "left_anti"), docs, width, percent)
+                x, y = np.nonzero((block == mates_["i"])[:, None] & (block == mates_["j"]) & (label[:, None] != label) & (rep[:, None] != centre) & (rep != centre))
+                once = (rep[x] < rep[y]) | (mates_["i"] != mates_["j"])
+                x, y = x[once], y[once]
+                held, kept_x, kept_y = registers.view([("", "<u2")] * ROWS).reshape(len(rep), -1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for at in range(0, len(x), PAIRS):
+                    i, j = x[at : at + PAIRS], y[at : at + PAIRS]
+                    first_ = np.argmax(held[i] == held[j], axis=1) == band_  # each pair once, in the first band they share
+                    i, j = i[first_], j[first_]
+                    good = possible(registers[i], registers[j], n[i], n[j], percent) if len(i) else np.zeros(0, bool)
+                    kept_x.append(i[good])
+                    kept_y.append(j[good])
+                x, y = np.concatenate(kept_x), np.concatenate(kept_y)
+                if len(x):
+                    some = np.unique(np.concatenate([x, y]))
+                    texts_ = rows.field(5)
+                    shared = shared_counts([shingle_set(words_of(texts_[int(k)].as_py()), width) for k in some])
+                    common = shared[np.searchsorted(some, x), np.searchsorted(some, y)]
+                    linked = 100 * common >= percent * (n[x] + n[y] - common)
+                    root = rep[roots(len(rep), x[linked], y[linked])]
+                    yield pa.RecordBatch.from_arrays([pa.array(root[root != rep]), pa.array(rep[root != rep])], ["a", "b"])
+
+    more = groups.mapInArrow(cross, "a bigint, b bigint").distinct()
     part = keep(components(links.unionAll(more)), "dup-part")
 
     named = done.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(part, F.col("rep") == F.col("node"), "left")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemagate.llm.common import join_same, keep
-from schemagate.llm.graph import components
+from schemagate.llm.graph import components, roots
 from schemagate.llm.vectors import units, usable
 
 TILE = 2048
@@ -49,18 +49,6 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> tuple[n
     return i[good], j[good]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest row of the component of each of n rows under links (i, j)."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        np.minimum.at(root, j, root[i])
-        root = root[root]
-        if (root == before).all():
-            return root
-
-
 def near_duplicate_vectors(vectors: DataFrame, *, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label); vec_ids are taken to be unique.
 
