@@ -1,8 +1,62 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
-STAGES = []
+Rejected documents go, one document of each near-duplicate group stays, secrets are masked in place, sources are
+mixed to target weights (documents repeat or go, the one at a source's cut is shortened), and what is left becomes
+SentencePiece ids. All but the last stage return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from schemagate.llm import mixing, neardup, pieces, quality, secrets
+from schemagate.llm.common import keep
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine accepts; it learns from the labels of documents that are still there."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group; five-word shingles, similarity of 0.8 or more. Rows without id stay."""
+    groups = neardup.near_duplicates(docs, width=5, percent=80)
+    gone = groups.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
+    return docs.join(keep(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secrets.mask_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row per copy taken."""
+    return mixing.mix_documents(docs)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids and whether these decode to the text."""
+    return pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("secret scans", secret_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", piece_stage),
+]
+
+#: No SQL: the classifier and the ids are beyond it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = keep(stage(spark, docs, sf_dir), f"stage-{k + 1}")
+    return docs

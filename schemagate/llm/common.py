@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
@@ -9,6 +10,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +71,12 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "i
     right = right.withColumnsRenamed({n: f"_same_{n}" for n in names})
     on = [F.col(n).eqNullSafe(F.col(f"_same_{n}")) for n in names]
     return left.join(right, on, how).drop(*(f"_same_{n}" for n in names))
+
+
+def share(spark: SparkSession, value):
+    """Broadcast an object of this package by value; `shared(...)` is it again on an executor."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(sent):
+    return pickle.loads(sent.value)

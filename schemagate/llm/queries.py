@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagate.llm import mixing, neardup, nearest, planes, secrets, vectordup
+from schemagate.llm import brown, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
 from schemagate.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query()
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, their number, and whether they decode to it."""
+    encoded = pieces.encode_texts(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("bigint").alias("n_tokens"), "ids", "round_trip")
+
+
 NEAR_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -64,6 +71,21 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query()
+def op7_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(load(spark, sf_dir, "documents"))
+
+
 VECTOR_SQL = """
 with recursive v as (
   select vec_id, label, embedding::double[] as e from embeddings
