@@ -9,7 +9,6 @@ files are never seen, and any file system that Spark knows will do.
 
 from __future__ import annotations
 
-import array
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from schemagate.llm.common import slices
 END_ID = 2
 BLOCK_IDS = 65536
 #: Words whose ids a worker remembers; only a matter of speed.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PIECES = "array<struct<doc_id:bigint,row:int,piece:int,n:int>>"
 BLOCKS = f"part int, block int, first bigint, n_ids int, planes array<binary>, pieces {PIECES}"
 
@@ -62,22 +61,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose text starts with a space
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words with a space before them: many at once, cut where an id starts with a space."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            plain = [w for w in part if w and len(w.split()) == 1 and w[0] > " " and not w[-1].isspace() and not w[0].isspace()]
+            ids = self._ids(" " + " ".join(plain)) if plain else np.zeros(0, "<u4")
+            start = np.flatnonzero(self.opens[ids])
+            if len(start) != len(plain):
+                plain, start = [], start[:0]
+            raw, edge = ids.tobytes(), [*(4 * start).tolist(), 4 * len(ids)]
+            self.known.update((w, raw[a:b]) for w, a, b in zip(plain, edge, edge[1:], strict=False))
+            self.known.update((w, self._ids(f" {w}").tobytes()) for w in part if w not in self.known)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian ids of each text; null counts as empty."""
         cut = [self._gap.split(t) if t else [""] for t in texts]
-        heads = self._ids([c[0] for c in cut])
-        new = {w for c in cut for w in c[1:]} - self.known.keys()
+        new = {w for c in cut for w in c[1:]}
         if len(new) + len(self.known) > REMEMBERED:
             self.known = {}
-            new = {w for c in cut for w in c[1:]}
-        new = list(new)
-        self.known.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
-        for head, c in zip(heads, cut, strict=True):
-            yield head + b"".join(map(self.known.__getitem__, c[1:]))
+        self._learn(list(new - self.known.keys()))
+        for c in cut:
+            yield (self._ids(c[0]).tobytes() if c[0] else b"") + b"".join(map(self.known.__getitem__, c[1:]))
 
 
 def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = 3, end_id: int = END_ID) -> None:
@@ -100,7 +111,7 @@ def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids:
             ids = np.frombuffer(b"".join(held), "<u4")
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": block * block_ids, "n_ids": len(ids), "planes": to_planes(ids, kind, level), "pieces": pieces}], schema)
 
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 300):
             for doc_id, data in zip(batch["doc_id"].to_pylist(), encoder(batch["text"].to_pylist()), strict=True):
                 data, at, piece = data + end, 0, 0
                 while at < len(data):
