@@ -25,7 +25,7 @@ from schemagate.llm.common import slices
 END_ID = 2
 BLOCK_IDS = 65536
 #: Words whose ids a worker remembers; only a matter of speed.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 PIECES = "array<struct<doc_id:bigint,row:int,piece:int,n:int>>"
 BLOCKS = f"part int, block int, first bigint, n_ids int, planes array<binary>, pieces {PIECES}"
 
@@ -49,46 +49,84 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
 class Encoder:
     """Ids of whole texts through the tokenizers library.
 
-    The vocabulary's pre-tokenizer always breaks before a space that follows something other than white space, so
-    the words between such places are encoded on their own, each distinct one once.
+    The vocabulary's pre-tokenizer always breaks before a space that follows something other than white space,
+    around a single line break, and between a letter or digit and marks. So words between such places are encoded
+    on their own, each distinct one once and many in one call; texts with other white space than single spaces and
+    line breaks are cut only before single spaces.
     """
 
-    _gap = re.compile(r"(?<=\S) ")
+    _odd, _gap = re.compile(r"\s\s"), re.compile(r"(?<=\S) ")
+    _marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids whose text starts with a space
-        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
+        self.line = self._ids("\n")
+        opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
+        breaks = np.zeros_like(opens)
+        breaks[self.line] = True
+        #: by separator: where a word starts in joined ids, and the ids of words after it that are remembered
+        self.starts = {" ": opens, "\n": breaks}
+        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words with a space before them: many at once, cut where an id starts with a space."""
+    def _one(self, word: str, before: str) -> bytes:
+        return self._ids(f" {word}" if before == " " else word).tobytes()
+
+    def _encode(self, words: list[str], before: str) -> None:
+        """Remember the ids of words that follow a space or a line break (which is not part of them)."""
+        known = self.known[before]
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
-            plain = [w for w in part if w and len(w.split()) == 1 and w[0] > " " and not w[-1].isspace() and not w[0].isspace()]
-            ids = self._ids(" " + " ".join(plain)) if plain else np.zeros(0, "<u4")
-            start = np.flatnonzero(self.opens[ids])
-            if len(start) != len(plain):
-                plain, start = [], start[:0]
-            raw, edge = ids.tobytes(), [*(4 * start).tolist(), 4 * len(ids)]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(plain, edge, edge[1:], strict=False))
-            self.known.update((w, self._ids(f" {w}").tobytes()) for w in part if w not in self.known)
+            joined = before + before.join(part)
+            if joined.split() == part:  # no white space in any
+                ids = self._ids(joined)
+                start = np.flatnonzero(self.starts[before][ids])
+                if len(start) == len(part):
+                    raw, edge, skip = ids.tobytes(), [*(4 * start).tolist(), 4 * len(ids)], 0 if before == " " else 4
+                    known.update((w, raw[a + skip : b]) for w, a, b in zip(part, edge, edge[1:], strict=False))
+                    continue
+            if len(part) > 50:  # set the odd ones apart
+                plain = [w for w in part if w.split() == [w]]
+                if len(plain) < len(part):
+                    self._encode(plain, before)
+                    part = [w for w in part if w not in known]
+            known.update((w, self._one(w, before)) for w in part)
+
+    def _learn(self, words: set[str], before: str) -> None:
+        """Remember words; marks at their end are encoded apart."""
+        known, marked, heads = self.known[before], [], set()
+        if len(words) + len(known) > REMEMBERED:
+            known.clear()
+        for w in words:
+            if w not in known:
+                head = w.rstrip(self._marks)
+                if head != w and head and (head[-1].isalpha() or "0" <= head[-1] <= "9"):
+                    marked.append((w, head, w[len(head) :]))
+                else:
+                    head = w
+                if head not in known:
+                    heads.add(head)
+        self._encode(list(heads), before)
+        for w, head, tail in marked:
+            if tail not in self.tails:
+                self.tails[tail] = self._one(tail, "\n")
+            known[w] = known[head] + self.tails[tail]
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian ids of each text; null counts as empty."""
-        cut = [self._gap.split(t) if t else [""] for t in texts]
-        new = {w for c in cut for w in c[1:]}
-        if len(new) + len(self.known) > REMEMBERED:
-            self.known = {}
-        self._learn(list(new - self.known.keys()))
-        for c in cut:
-            yield (self._ids(c[0]).tobytes() if c[0] else b"") + b"".join(map(self.known.__getitem__, c[1:]))
+        """Little-endian ids of each text; null counts as empty. Every text is a list of lines, a line a list of words."""
+        cut = [[] if not t else [self._gap.split(t)] if self._odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        self._learn({line[0] for lines in cut for line in lines}, "\n")
+        self._learn({w for lines in cut for line in lines for w in line[1:]}, " ")
+        first, rest, line_break = self.known["\n"], self.known[" "].__getitem__, self.line.tobytes()
+        for lines in cut:
+            yield line_break.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines])
 
 
 def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = 3, end_id: int = END_ID) -> None:
