@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from schemagate.llm.common import mix64, share, shared, slices
 
@@ -209,6 +208,10 @@ class Encoder:
             yield b"".join(map(self.known.__getitem__, c))
 
 
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
 def encode_texts(documents: DataFrame, model: str, *, bpe: bool = True, column: str = "ids") -> DataFrame:
     """`documents` with its piece ids (array of int) and whether decoding them gives the text again (`round_trip`).
 
@@ -231,8 +234,7 @@ def encode_texts(documents: DataFrame, model: str, *, bpe: bool = True, column:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), ids, trip], [*names, column, "round_trip"])
 
     kept = documents.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{column}` array<int>, round_trip boolean"
-    return kept.mapInArrow(encode, schema)
+    return kept.mapInArrow(encode, _schema(kept, f"`{column}` array<int>, round_trip boolean"))
 
 
 def decode_ids(encoded: DataFrame, model: str, *, column: str = "ids") -> DataFrame:
@@ -246,4 +248,4 @@ def decode_ids(encoded: DataFrame, model: str, *, column: str = "ids") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
-    return encoded.mapInArrow(decode, encoded.withColumn("decoded", F.lit("")).schema)
+    return encoded.mapInArrow(decode, _schema(encoded, "decoded string"))

@@ -35,7 +35,7 @@ def tokens(text: str | None) -> list[bytes]:
 def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, packed): each byte of each word and its end, packed with the ORDER - 1 bytes before it (start marks in front)."""
     text = np.frombuffer(b"".join(bytes([START] * (ORDER - 1)) + w + bytes([END]) for w in words), np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + ORDER for w in words])
+    sizes = np.array([len(w) + ORDER for w in words], np.int64)
     row = np.repeat(np.arange(len(words)), sizes)
     packed = text.copy()
     for k in range(1, ORDER):
