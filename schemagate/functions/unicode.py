@@ -6,10 +6,11 @@ UDF; ASCII cells are already in that form and reach the UDF as nulls.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,10 +18,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 _NON_ASCII = r"[^\x00-\x7F]"
 
 
-def _compose(value: str | None) -> str | None:
-    return None if value is None else unicodedata.normalize("NFKC", value)
-
-
 def compose_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each string column by its NFKC form."""
     if not columns:
@@ -30,7 +27,7 @@ def compose_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     @F.pandas_udf(schema)
     def compose(*cells: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({s: cell.map(_compose, na_action="ignore") for s, cell in zip(slots, cells)})
+        return pd.DataFrame({s: pc.utf8_normalize(pa.array(cell, pa.string()), form="NFKC").to_pandas() for s, cell in zip(slots, cells)})
 
     composed = compose(*[F.when(F.col(c).rlike(_NON_ASCII), F.col(c)) for c in columns])
     tagged = df.withColumn("__composed", composed)

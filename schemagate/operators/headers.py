@@ -165,14 +165,21 @@ def detect_header_rows(rows: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> Da
 
 
 def locate_headers(rows: DataFrame, scan_rows: int = HEADER_SCAN_ROWS) -> DataFrame:
-    """Header row of each file: its first row, or the best-looking later one if that says nothing."""
-    first = rows.filter(F.col("row_id") == 0).select("file_id", F.col("cells").alias("first_cells"))
-    found = detect_header_rows(rows, scan_rows)
+    """Header row of each file: its first row that is there, or, if that says nothing, the best-looking of the next ones.
+
+    ``scan_rows`` rows after the first are looked at. Row ids may start anywhere: blank lines have none.
+    """
+    place = F.row_number().over(Window.partitionBy("file_id").orderBy("row_id"))
+    top = rows.withColumn("place", place).filter(F.col("place") <= scan_rows + 1)
+    first = top.filter(F.col("place") == 1).select("file_id", F.col("cells").alias("first_cells"), F.col("row_id").alias("first_row"))
+    later = top.filter(F.col("place") > 1).withColumnRenamed("row_id", "at").withColumn("row_id", F.col("place") - 2)
+    found = detect_header_rows(later, scan_rows).withColumnRenamed("header_row", "place")
+    found = found.join(later.select("file_id", F.col("row_id").alias("place"), F.col("at").alias("header_row")), ["file_id", "place"])
     unnamed = F.forall("first_cells", lambda c: F.coalesce(c, F.lit("")).rlike(r"^(|Unnamed:.*|Column_.*|\d+)$"))
     use_found = unnamed & F.col("header_row").isNotNull()
     return first.join(found, "file_id", "left").select(
         "file_id",
-        F.when(use_found, F.col("header_row")).otherwise(F.lit(0)).cast("bigint").alias("header_row"),
+        F.when(use_found, F.col("header_row")).otherwise(F.col("first_row")).cast("bigint").alias("header_row"),
         F.when(use_found, F.col("headers")).otherwise(F.col("first_cells")).alias("cells"),
     )
 

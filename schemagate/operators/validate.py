@@ -23,8 +23,8 @@ NO_RECORDS = "cast(array() as array<struct<column:string,reason:string,value:str
 SEVERITIES = ("error", "warning", "info")
 
 # Formats the validator asks for.
-URL_FORMAT = r"(?i)^https?://[\w\-\.]+(:[0-9]+)?(/.*)?$"
-PHONE_FORMAT = r"^[\+]?[\d\s\(\)\-\.]{7,15}$"
+URL_FORMAT = r"(?iU)^https?://[\w\-\.]+(:[0-9]+)?(/.*)?$"
+PHONE_FORMAT = r"(?U)^[\+]?[\d\s\(\)\-\.]{7,15}$"
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def pattern_rule(name: str, pattern: str) -> Rule | None:
         re.compile(pattern)
     except re.error:
         return None
-    return rule(~F.col(name).cast("string").rlike(f"^(?:{pattern})"), name, f"pattern_mismatch:{pattern}")
+    return rule(~F.col(name).cast("string").rlike(f"(?U)^(?:{pattern})"), name, f"pattern_mismatch:{pattern}")
 
 
 def email_rule(name: str) -> Rule:

@@ -64,10 +64,12 @@ def process_table(
     return Processed(data, normalized, checked, matches, unmapped, len(matches) / max(len(profile.columns), 1))
 
 
-def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Validation, DataFrame]:
+def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Validation, DataFrame, DataFrame]:
     """Map, normalize and validate all admitted files of a folder at once.
 
-    Also returns the matches made for each file. Rows are keyed by ``row_key``: file and row number.
+    Also returns the matches made for each file, and what was left out, as (file_id, row_id, reason): files not
+    admitted, without a reader or without a matching header (row_id is null), and rows with more cells than
+    headers. Rows are keyed by ``row_key``: file and row number.
     """
     taken = files.admitted(listing, **limits)
     rows = files.read_mixed(taken).unionByName(workbook.read_workbooks(taken))
@@ -76,7 +78,14 @@ def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Valid
     table = files.mapped_table(rows, located, matches, profile.targets)
     keyed = table.withColumn("row_key", F.concat_ws("#", "file_id", F.col("row_id").cast("string")))
     cells = clean_cells(keyed.drop("file_id", "row_id"), WORKBOOK_NULL_TOKENS)
-    return validate(normalize_table(drop_empty_rows(cells, profile.targets), profile), profile, "row_key"), matches
+    named = taken.select(F.col("path").alias("file_id"))
+    unread = named.filter(F.lower("file_id").endswith(".xls")).withColumn("reason", F.lit("no_reader"))
+    unmatched = named.filter(~F.lower("file_id").endswith(".xls")).join(matches.select("file_id").distinct(), "file_id", "left_anti")
+    whole = files.rejected(listing, **limits).select(F.col("path").alias("file_id"), "reason").unionByName(unread)
+    whole = whole.unionByName(unmatched.withColumn("reason", F.lit("no_matching_header"))).withColumn("row_id", F.lit(None).cast("bigint"))
+    left_out = whole.unionByName(files.overlong_rows(rows, located).select("file_id", "row_id", F.lit("more_cells_than_headers").alias("reason")))
+    checked = validate(normalize_table(drop_empty_rows(cells, profile.targets), profile), profile, "row_key")
+    return checked, matches, left_out.select("file_id", "row_id", "reason")
 
 
 def run_metrics(done: Processed, key: str) -> DataFrame:
@@ -158,7 +167,7 @@ def process_and_export(
             rows_invalid=metrics["rows_invalid"], message="processing completed",
         )
     except Exception as e:
-        event("failed", finished_at=clock(), message=str(e)[:2000])
+        event("failed", finished_at=clock(), message=str(e))
         raise
     return {"run_id": run_id, "paths": kinds, "metrics": metrics, "confidence": done.confidence}
 

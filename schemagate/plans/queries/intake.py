@@ -33,7 +33,7 @@ def _count(c: str) -> str:
         from (select doc_id, {SEPARATED} as t from documents))""")
 def delimiter_detect(spark, sf):
     """Delimiter by the whole text."""
-    return load(spark, sf, "documents").select("doc_id", op.detect_delimiter(F.expr(SEPARATED), None).alias("delimiter"))
+    return load(spark, sf, "documents").select("doc_id", op.detect_delimiter(F.expr(SEPARATED)).alias("delimiter"))
 
 
 @query("""select doc_id, row_id, len(string_split(line, ',')) as width, md5(replace(line, ',', '|')) as plain,

@@ -16,13 +16,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from schemagate.functions.text import file_extension
 
 CORRUPT = "_corrupt_record"
-MAX_BYTES = 100 * 1024 * 1024
 # Extensions taken in, delimiters in order of preference.
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xls")
 DATASET_EXTENSIONS = ("csv", "xlsx", "xls")
 TEXT_EXTENSIONS = ("csv", "tsv", "txt")
 DELIMITERS = (",", ";", "\t", "|")
-SAMPLE_CHARS = 1024
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -33,11 +31,11 @@ def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None
     return reader.load(path if isinstance(path, str) else list(path))
 
 
-def admission(listing: DataFrame, max_bytes: int = MAX_BYTES, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """Add ``rejected``: why a file is not taken in, null if it is."""
-    reason = F.when(~file_extension(F.col("path")).isin(list(extensions)), "unsupported_extension").when(
-        F.col("length") > max_bytes, "file_too_large"
-    )
+def admission(listing: DataFrame, max_bytes: int | None = None, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """Add ``rejected``: why a file is not taken in, null if it is; sizes count only where a limit is given."""
+    reason = F.when(~file_extension(F.col("path")).isin(list(extensions)), "unsupported_extension")
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, "file_too_large")
     return listing.withColumn("rejected", reason)
 
 
@@ -84,12 +82,11 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
-def detect_delimiter(text: Column, sample_chars: int | None = SAMPLE_CHARS) -> Column:
-    """Most frequent delimiter of the sample (of the whole text for None); comma if there is none."""
-    sample = text if sample_chars is None else F.left(text, F.lit(sample_chars))
+def detect_delimiter(text: Column) -> Column:
+    """Most frequent delimiter of the whole text; comma if there is none."""
     counted = [
         F.struct(
-            (F.length(sample) - F.length(F.replace(sample, F.lit(d), F.lit("")))).alias("n"),
+            (F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias("n"),
             F.lit(-i).alias("rank"),
             F.lit(d).alias("delimiter"),
         )
@@ -148,7 +145,8 @@ def header_table(located: DataFrame) -> DataFrame:
 def mapped_table(rows: DataFrame, located: DataFrame, matches: DataFrame, targets: Sequence[str]) -> DataFrame:
     """One wide table over all files: the cells under the matched headers, as text.
 
-    ``located`` has the header row of each file, ``matches`` its (file_id, target, header).
+    ``located`` has the header row of each file, ``matches`` its (file_id, target, header). Rows with
+    more cells than the header row are left to ``overlong_rows``.
     """
     positions = (
         matches.join(header_table(located), ["file_id", "header"])
@@ -158,12 +156,19 @@ def mapped_table(rows: DataFrame, located: DataFrame, matches: DataFrame, target
         # One entry per target: as wide as the profile.
         .agg(F.map_from_entries(F.collect_list(F.struct("target", "position"))).alias("slot"))
     )
-    files = located.select("file_id", "header_row").join(positions, "file_id")
-    data = rows.join(files, "file_id").filter(F.col("row_id") > F.col("header_row"))
+    files = located.select("file_id", "header_row", F.size("cells").alias("width")).join(positions, "file_id")
+    data = rows.join(files, "file_id").filter((F.col("row_id") > F.col("header_row")) & (F.size("cells") <= F.col("width")))
     cells = [F.get("cells", F.try_element_at("slot", F.lit(t))).alias(t) for t in targets]
     return data.select("file_id", "row_id", *cells)
 
 
+def overlong_rows(rows: DataFrame, located: DataFrame) -> DataFrame:
+    """Data rows with more cells than their header row: under which header a cell belongs is not known."""
+    files = located.select("file_id", "header_row", F.size("cells").alias("width"))
+    data = rows.join(files, "file_id").filter((F.col("row_id") > F.col("header_row")) & (F.size("cells") > F.col("width")))
+    return data.select("file_id", "row_id", "cells")
+
+
 def string_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 

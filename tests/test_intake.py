@@ -34,7 +34,7 @@ def test_mixed_folder(spark, tmp_path):
         ("a.csv", 0, "Period#Planned Amount"), ("a.csv", 1, '2025-01#1,5 "x"'), ("a.csv", 2, "2025-02#3"),
         ("b.csv", 0, "Период#Планирана сума"), ("b.csv", 1, "2025-03#150 000,50"), ("c.tsv", 0, "Dept#Status"), ("c.tsv", 1, "x#active"),
     ]
-    checked, matches = process_files(listing, BUDGET)
+    checked, matches, left_out = process_files(listing, BUDGET)
     assert rows(matches.select(name, "target")) == [
         ("a.csv", "period"), ("a.csv", "planned_amount"), ("b.csv", "period"), ("b.csv", "planned_amount"),
         ("c.tsv", "department"), ("c.tsv", "status"),
@@ -53,7 +53,7 @@ def test_mixed_folder(spark, tmp_path):
 def test_generic_header_row(spark, tmp_path):
     base = str(tmp_path / "g")
     write(f"{base}/x.csv", "Column_1,Column_2\nmay,7\nPeriod,Department name\n2025-01,roads\n")
-    checked, matches = process_files(files.list_files(spark, base), BUDGET)
+    checked, matches, left_out = process_files(files.list_files(spark, base), BUDGET)
     assert rows(matches, "target", "header") == [("department", "Department name"), ("period", "Period")]
     assert rows(checked.annotated.select(F.col("period").cast("string"))) == [("2025-01-01",)]
 
@@ -107,3 +107,21 @@ def test_cleanup(spark):
     assert normalize.reheader(numbered, "row_id", 1, ["A"]).columns == ["row_id", "c0", "c1"]
     mapped, left = normalize.apply_mapping(numbered, {"c0": "z"})
     assert mapped.columns == ["row_id", "z", "c1"] and left == ["row_id", "c1"]
+
+
+def test_nothing_vanishes_from_a_folder(spark, tmp_path):
+    head = "Period,Department,Budget Line,Planned Amount,Executed Amount"
+    (tmp_path / "blank.csv").write_text(f"\n\n{head}\n2024-02,Harbour,HB-1,10.00,5.00\n")
+    (tmp_path / "late.csv").write_text("".join(f"{i},,,,\n" for i in range(10)) + f"{head}\n2024-03,Parks,PK-1,20.00,5.00\n")
+    (tmp_path / "commas.csv").write_text(head.replace(",", ";") + ";" + "," * 200 + "\n" + "2024-04;Roads;RD-1;30.00;5.00;x\n" * 60)
+    (tmp_path / "ragged.csv").write_text(f"{head}\n2024-05,Roads,RD-2,150,000.50,72.150,80\n2024-05,Roads,RD-3,40.00,5.00\n")
+    (tmp_path / "other.csv").write_text("qqq,zzz\n1,2\n")
+    (tmp_path / "old.xls").write_bytes(b"x")
+    (tmp_path / "note.pdf").write_bytes(b"x")
+    checked, _, left_out = process_files(files.list_files(spark, str(tmp_path)), BUDGET)
+    name = F.substring_index("file_id", "/", -1).alias("name")
+    assert rows(left_out.select(name, "row_id", "reason")) == [
+        ("note.pdf", None, "unsupported_extension"), ("old.xls", None, "no_reader"), ("other.csv", None, "no_matching_header"), ("ragged.csv", 1, "more_cells_than_headers"),
+    ]
+    planned = {float(r.planned_amount) for r in checked.valid.collect()}
+    assert {10.0, 20.0, 30.0, 40.0} <= planned and 150.0 not in planned

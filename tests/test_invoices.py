@@ -9,24 +9,24 @@ from schemagate.sinks.export import export_documents, write_document_files
 PROFILE = load_profile("einvoice_v1")
 COLUMNS = "row_id bigint, `Invoice ID` string, `Issue Date` string, Supplier string, Customer string, Description string, Qty string, `Unit Price` string, `VAT %` string"
 DATA = [
-    (0, "INV-1", "2025-01-10 00:00", "Supplier Ltd", "Customer & Co", "Service A", "1", "100", "20"),
-    (1, "INV-1", "2025-01-10", "Supplier Ltd", "Customer & Co", "Service <B>", "2", "50", "20"),
+    (0, "F-2041", "2024-06-18 00:00", "Nordwind GmbH", "Adler & Sohn", "Pump", "1", "100", "20"),
+    (1, "F-2041", "2024-06-18", "Nordwind GmbH", "Adler & Sohn", "Valve <M>", "2", "50", "20"),
 ]
 DOCUMENT = """<?xml version='1.0' encoding='UTF-8'?>
 <Invoice xmlns:cbc="urn:oasis:names:specification:ubl:schema:xsd:CommonBasicComponents-2" xmlns:cac="urn:oasis:names:specification:ubl:schema:xsd:CommonAggregateComponents-2" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xmlns="urn:oasis:names:specification:ubl:schema:xsd:Invoice-2">
   <cbc:CustomizationID>1.0</cbc:CustomizationID>
   <cbc:ProfileID>bii04</cbc:ProfileID>
-  <cbc:ID>INV-1</cbc:ID>
-  <cbc:IssueDate>2025-01-10</cbc:IssueDate>
+  <cbc:ID>F-2041</cbc:ID>
+  <cbc:IssueDate>2024-06-18</cbc:IssueDate>
   <cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode>
   <cac:AccountingSupplierParty>
     <cac:Party>
-      <cbc:Name>Supplier Ltd</cbc:Name>
+      <cbc:Name>Nordwind GmbH</cbc:Name>
     </cac:Party>
   </cac:AccountingSupplierParty>
   <cac:AccountingCustomerParty>
     <cac:Party>
-      <cbc:Name>Customer &amp; Co</cbc:Name>
+      <cbc:Name>Adler &amp; Sohn</cbc:Name>
     </cac:Party>
   </cac:AccountingCustomerParty>
 """
@@ -35,7 +35,7 @@ SECOND_LINE = """  <cac:InvoiceLine>
     <cbc:InvoicedQuantity unitCode="EA">2.00</cbc:InvoicedQuantity>
     <cbc:LineExtensionAmount currencyID="EUR">100.00</cbc:LineExtensionAmount>
     <cac:Item>
-      <cbc:Description>Service &lt;B&gt;</cbc:Description>
+      <cbc:Description>Valve &lt;M&gt;</cbc:Description>
     </cac:Item>
     <cac:Price>
       <cbc:PriceAmount currencyID="EUR">50.00</cbc:PriceAmount>
@@ -62,10 +62,10 @@ def test_batch(spark, tmp_path):
     assert doc.document.startswith(DOCUMENT) and doc.document.endswith(SECOND_LINE)
     assert (doc.net, doc.tax, doc.payable) == (Decimal("200.00"), Decimal("40.00"), Decimal("240.00"))
     r = registry.first()
-    assert (r.invoice_id, r.file_path, r.currency, r.payable_amount, r.status, r.error) == ("INV-1", "inv_inv-1.xml", "EUR", Decimal("240.00"), "ok", "")
+    assert (r.invoice_id, r.file_path, r.currency, r.payable_amount, r.status, r.error) == ("F-2041", "inv_f-2041.xml", "EUR", Decimal("240.00"), "ok", "")
     named = docs.join(registry.select("invoice_id", "file_path"), "invoice_id")
     assert write_document_files(named, str(tmp_path / "xml")) == 1
-    assert (tmp_path / "xml" / "inv_inv-1.xml").read_text("utf-8") == doc.document
+    assert (tmp_path / "xml" / "inv_f-2041.xml").read_text("utf-8") == doc.document
     export_documents(docs, str(tmp_path / "docs"))
     assert spark.read.parquet(str(tmp_path / "docs")).count() == 1
 
@@ -76,14 +76,14 @@ def test_bad_invoice_fails_alone(spark, tmp_path):
     got = {r.invoice_id: (r.status, str(r.payable_amount), r.checksum == "") for r in registry.collect()}
     named = docs.join(registry.select("invoice_id", "file_path"), "invoice_id")
     assert write_document_files(named, str(tmp_path)) == 2 and len(list(tmp_path.iterdir())) == 2
-    assert got == {"INV-1": ("ok", "240.00", False), "INV-2": ("error", "0.00", True), "INV-3": ("ok", "0.00", False)}
+    assert got == {"F-2041": ("ok", "240.00", False), "INV-2": ("error", "0.00", True), "INV-3": ("ok", "0.00", False)}
 
 
 def test_notations_on_request(spark):
-    row = [(0, "1", "10.01.2025", "S", "C", "x", "2", "1 000,50", "20")]
+    row = [(0, "1", "18.06.2024", "S", "C", "x", "2", "1 000,50", "20")]
     docs, _ = invoices.invoice_batch(spark.createDataFrame(row, COLUMNS), PROFILE, "row_id", parse_text=True)
     doc = docs.first()
-    assert doc.payable == Decimal("2401.20") and "<cbc:IssueDate>2025-01-10<" in doc.document
+    assert doc.payable == Decimal("2401.20") and "<cbc:IssueDate>2024-06-18<" in doc.document
 
 
 def test_required_columns(spark):
