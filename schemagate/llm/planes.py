@@ -181,17 +181,21 @@ def _read(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
     blocks, index = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), spark.read.schema("part int, block int, start bigint, n_ids int, stored_bytes bigint").parquet(f"{folder}/index")
     placed = blocks.join(index.select("part", "block", "start"), ["part", "block"])
 
+    kind = pa.list_(pa.int32()) if "array" in column else pa.int64()
+
     def decode(batches):
         for batch in slices(batches, 16):
-            rows = []
-            for b in batch.to_pylist():
-                ids, at = from_planes(b["planes"], b["n_ids"]), 0
-                for p in b["pieces"]:
-                    rows.append((p["doc_id"], b["part"], p["row"], p["piece"], b["start"] + at, p["n"], make(ids[at : at + p["n"]])))
-                    at += p["n"]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()) if "array" in column else pa.int64())
-            names = ("doc_id", "part", "row", "piece", "start", "n_tokens", column.split()[0])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+            pieces, offsets = batch["pieces"].values, batch["pieces"].offsets.to_numpy()
+            doc_id, row, piece, n = (pieces.field(k)[int(offsets[0]) : int(offsets[-1])] for k in range(4))
+            sizes, made, starts = n.to_numpy().astype(np.int64), [], [np.zeros(0, np.int64)]
+            for r in range(batch.num_rows):
+                own = sizes[offsets[r] - offsets[0] : offsets[r + 1] - offsets[0]]
+                ids, at = from_planes(batch["planes"][r].as_py(), batch["n_ids"][r].as_py()), np.cumsum(own) - own
+                made += [make(ids[a : a + k]) for a, k in zip(at.tolist(), own.tolist(), strict=True)]
+                starts.append(batch["start"][r].as_py() + at)
+            part = np.repeat(batch["part"].to_numpy(), np.diff(offsets))
+            columns = [doc_id, pa.array(part), row, piece, pa.array(np.concatenate(starts)), pa.array(sizes), pa.array(made, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "row", "piece", "start", "n_tokens", column.split()[0]])
 
     return placed.mapInArrow(decode, f"doc_id bigint, part int, row int, piece int, start bigint, n_tokens bigint, {column}")
 
@@ -228,7 +232,7 @@ def joined_crc(pieces: list[tuple[int, int]]) -> int:
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files; pieces meet by their checksums, never whole."""
-    pieces = _read(spark, folder, "crc bigint", lambda ids: zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
+    pieces = _read(spark, folder, "crc bigint", lambda ids: zlib.crc32(np.ascontiguousarray(ids, "<u4")))
     docs = pieces.groupBy("part", "row").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("piece", "crc", "n_tokens"))).alias("pieces"),
@@ -236,7 +240,12 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
 
     def combine(batches):
         for batch in batches:
-            crc = [joined_crc([(p["crc"], 4 * p["n_tokens"]) for p in ps]) if len(ps) > 1 else ps[0]["crc"] for ps in batch["pieces"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            pieces, offsets = batch["pieces"].values, batch["pieces"].offsets.to_numpy()
+            crcs, sizes = pieces.field("crc").to_numpy(), pieces.field("n_tokens").to_numpy()
+            crc = crcs[offsets[:-1]].copy()
+            for i in np.flatnonzero(np.diff(offsets) > 1):
+                own = slice(offsets[i], offsets[i + 1])
+                crc[i] = joined_crc([(c, 4 * n) for c, n in zip(crcs[own].tolist(), sizes[own].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return docs.select("doc_id", "start", "n_tokens", "pieces").mapInArrow(combine, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
