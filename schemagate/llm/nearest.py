@@ -71,7 +71,8 @@ def curve_keys(x: np.ndarray, curves: int = CURVES, directions: int = DIRECTIONS
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, window: float = WINDOW, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of (vec_id, embedding) for each row of `queries`, itself left out.
 
-    Ties go to the smaller vec_id. Null, zero and non-finite vectors and those with null components take no part, on
+    `queries` are rows of `vectors`. Equal queries are searched for once: a class of equal vectors is given its k + 1
+    nearest ids, from which each of its queries takes the first k that are not its own. Ties go to the smaller vec_id. Null, zero and non-finite vectors and those with null components take no part, on
     either side; neither do null ids. Vectors of different length are not compared. Equal vectors are indexed once
     with their k + 1 smallest ids. No rows: no rows. Other columns are not read.
     """
@@ -102,18 +103,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, window: float
     blocks = keep(sizes.select("curve", "dim", "block", (F.col("end") - F.col("n")).alias("start"), "end", "all"), "nn-blocks")
 
     # a query's rank on every curve: the start of its block and the place of its key in it
-    asked = rows(queries).groupBy("embedding").agg(F.collect_list("vec_id").alias("query_ids"))
+    asked = rows(queries).select("embedding").distinct()
     within = F.row_number().over(Window.partitionBy("curve", "dim", "block").orderBy("key", "rep")) - 1
     ranks = ranged.withColumn("within", within).join(asked, "embedding").join(blocks, ["curve", "dim", "block"])
-    ranks = ranks.select("curve", "dim", "query_ids", "embedding", (F.col("start") + F.col("within")).alias("at"), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("all") * window)).alias("span"))
+    ranks = ranks.select("curve", "dim", "rep", "embedding", (F.col("start") + F.col("within")).alias("at"), F.greatest(F.lit(LEAST_ROWS), F.ceil(F.col("all") * window)).alias("span"))
     ranks = ranks.withColumns({"low": F.col("at") - F.col("span") / 2, "high": F.col("at") + F.col("span") / 2})
     spans = blocks.groupBy("curve", "dim").agg(F.sort_array(F.collect_list(F.struct("start", "end", "block"))).alias("blocks"))
-    visits = ranks.join(spans, ["curve", "dim"]).select("curve", "dim", "query_ids", "embedding", F.explode(F.filter("blocks", lambda b: (b["end"] > F.col("low")) & (b["start"] <= F.col("high")))).alias("b"))
-    visits = visits.select("curve", "dim", F.col("b.block").alias("block"), F.explode("query_ids").alias("query_id"), F.col("embedding"))
+    visits = ranks.join(spans, ["curve", "dim"]).select("curve", "dim", F.col("rep").alias("asker"), "embedding", F.explode(F.filter("blocks", lambda b: (b["end"] > F.col("low")) & (b["start"] <= F.col("high")))).alias("b"))
+    visits = visits.select("curve", "dim", F.col("b.block").alias("block"), "asker", "embedding")
     visits = keep(visits, "nn-visits")
     chunks = keep(visits.groupBy("block", "curve", "dim").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("chunks")), "nn-chunks")
-    asks = visits.join(chunks, ["block", "curve", "dim"]).select("block", "curve", "dim", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"), "query_id", F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
-    gives = ranged.join(chunks, ["block", "curve", "dim"]).select("block", "curve", "dim", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("bigint").alias("query_id"), "ids", "embedding")
+    asks = visits.join(chunks, ["block", "curve", "dim"]).select("block", "curve", "dim", F.pmod(F.xxhash64("asker"), F.col("chunks")).cast("int").alias("chunk"), "asker", F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
+    gives = ranged.join(chunks, ["block", "curve", "dim"]).select("block", "curve", "dim", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("bigint").alias("asker"), "ids", "embedding")
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["ids"].isna().to_numpy()
@@ -126,16 +127,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, window: float
             scores = units(part["embedding"]) @ y.T
             # classes beyond the first k + 1 by (score, id) can't matter: each has an id of its own
             best = np.argpartition(-scores, min(k + 1, scores.shape[1] - 1), axis=1)[:, : k + 1] if scores.shape[1] > k + 1 else np.tile(np.arange(scores.shape[1]), (len(part), 1))
-            for r, q in enumerate(part["query_id"]):
+            for r, q in enumerate(part["asker"]):
                 least = scores[r][best[r]].min()
                 close = np.flatnonzero(scores[r] >= least - 1e-12)
                 close = close[np.lexsort((first[close], -scores[r][close]))][: k + 1]
-                found = sorted((-scores[r][c], i) for c in close for i in ids[c] if i != q)[:k]
+                found = sorted((-scores[r][c], i) for c in close for i in ids[c])[: k + 1]
                 out += [(q, i, -s) for s, i in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out, columns=["asker", "vec_id", "score"]).astype({"asker": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = asks.unionByName(gives).groupBy("block", "curve", "dim", "chunk").applyInPandas(rank, "query_id bigint, vec_id bigint, score double")
+    found = asks.unionByName(gives).groupBy("block", "curve", "dim", "chunk").applyInPandas(rank, "asker bigint, vec_id bigint, score double")
     # one score per pair: curves compute it in different matrix products, so it is taken to a fixed precision for ties
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place_ = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id"))
-    return merged.withColumn("rank", place_).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    merged = found.groupBy("asker", "vec_id").agg(F.max("score").alias("score")).withColumn("order", -F.round("score", 12))
+    place_ = F.row_number().over(Window.partitionBy("asker").orderBy("order", "vec_id"))
+    near = merged.withColumn("place", place_).where(F.col("place") <= k + 1)
+    near = keep(near.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct("order", "vec_id", "score"))).alias("near")), "nn-found")
+
+    # each query takes the list of its class
+    classes = index.where("curve = 0").select(F.col("rep").alias("asker"), "embedding")
+    own = rows(queries).select(F.col("vec_id").alias("query_id"), "embedding").join(classes, "embedding").select("query_id", "asker").join(near, "asker")
+    others = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
+    own = own.select("query_id", F.posexplode(others).alias("at", "n"))
+    return own.select("query_id", (F.col("at") + 1).alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))

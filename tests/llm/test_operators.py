@@ -287,6 +287,14 @@ def test_nearest(spark, sf_dir):
     assert nearest.nearest(df.where("false"), df, 5).count() == 0
 
 
+def test_nearest_of_many_equal_queries(spark):
+    same = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(60)] + [(i, [float(i), 1.0, 0.0, 1.0]) for i in range(60, 64)]
+    df = spark.createDataFrame(same, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, df.where("vec_id < 60"), 5).collect()
+    assert len(got) == 300 and all(round(r.score, 12) == 1 for r in got)
+    assert all([r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [i for i in range(7) if i != q][:5] for q in range(60))
+
+
 def test_recall_of_curves():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 64))
