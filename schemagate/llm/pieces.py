@@ -47,6 +47,9 @@ class Pieces:
             elif not special[i]:
                 self.text[i] = sp.id_to_piece(i)
         self.ids = {t: i for i, t in enumerate(self.text) if isinstance(t, str)}
+        encoded = [bytes([t]) if isinstance(t, int) else (t or "").encode("utf-8", "surrogatepass") for t in self.text]
+        self.bytes, self.width = np.frombuffer(b"".join(encoded), np.uint8), np.array([len(x) for x in encoded])
+        self.start = np.cumsum(self.width) - self.width
         self.score = np.array([*(sp.get_score(i) for i in range(self.size)), -1e9])
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("pieces that span words are not supported")
@@ -136,8 +139,8 @@ class Pieces:
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words of equal length, characters outside the vocabulary as bytes."""
-        codes = np.array([[ord(c) for c in w] for w in words], np.uint64)
-        rows, length = codes.shape
+        rows, length = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, length).astype(np.uint64)
         found = np.full((self.longest + 1, rows, length), -1, np.int64)
         for n, h in enumerate(self._hash(codes, self.longest), 1):
             row, start = np.nonzero(self.maybe[h >> np.uint64(44)])
@@ -159,30 +162,29 @@ class Pieces:
             n = np.argmax(value, axis=1)
             pick = np.arange(rows)
             best[:, end], last[:, end], size[:, end] = value[pick, n], piece[pick, n], n + 1
-        out = []
-        for r, w in enumerate(words):
-            ids, end = [], length
-            while end:
-                ids.append(last[r, end])
-                end -= size[r, end]
-            if self.size in ids:
-                chars, at = [], 0
-                for i in reversed(ids):
-                    n = 1 if i == self.size else len(self.text[i])
-                    chars += [self.byte[x] for x in w[at].encode("utf-8", "surrogatepass")] if i == self.size else [i]
-                    at += n
-                out.append(np.array(chars, "<i4"))
-            else:
-                out.append(np.array(ids[::-1], "<i4"))
+        # all rows follow their backpointers together, from the end to the front
+        ids, left = np.zeros((rows, length), "<i4"), np.full(rows, length)
+        end, pick = np.full(rows, length), np.arange(rows)
+        while len(pick):
+            left[pick] -= 1
+            ids[pick, left[pick]] = last[pick, end]
+            end = end - size[pick, end]
+            pick, end = pick[end > 0], end[end > 0]
+        out = [row[k:] for row, k in zip(ids, left.tolist(), strict=True)]
+        for r in np.flatnonzero((ids == self.size).any(axis=1)):
+            chars, at = [], 0
+            for i in out[r].tolist():
+                chars += [self.byte[x] for x in words[r][at].encode("utf-8", "surrogatepass")] if i == self.size else [i]
+                at += 1 if i == self.size else len(self.text[i])
+            out[r] = np.array(chars, "<i4")
         return out
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of ids; runs of byte pieces are read as UTF-8, the mark in front goes. Control ids have no text."""
-        out = bytearray()
-        for i in ids:
-            t = self.text[i]
-            out += bytes([t]) if isinstance(t, int) else t.encode("utf-8", "surrogatepass") if t is not None else b""
-        return out.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+        size = self.width[ids]
+        # byte k of the text is byte k - (start in the text) of its piece
+        source = np.repeat(self.start[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.bytes[source].tobytes().decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
 class Encoder:
@@ -230,7 +232,7 @@ def encode_texts(documents: DataFrame, model: str, *, bpe: bool = True, column:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
             null = pa.array([t is None for t in texts])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*flat, np.zeros(0, "<i4")])), mask=null)
-            trip = pa.array([None if t is None else encoder.pieces.decode(f.tolist()) == t for t, f in zip(texts, flat, strict=True)], pa.bool_())
+            trip = pa.array([None if t is None else encoder.pieces.decode(f) == t for t, f in zip(texts, flat, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), ids, trip], [*names, column, "round_trip"])
 
     kept = documents.select(*names)
@@ -244,7 +246,7 @@ def decode_ids(encoded: DataFrame, model: str, *, column: str = "ids") -> DataFr
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(sent)
         for batch in slices(batches, 500):
-            texts = [None if v is None else pieces.decode(v) for v in batch[column].to_pylist()]
+            texts = [None if v is None else pieces.decode(np.array(v, np.int64)) for v in batch[column].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     encoded = encoded.drop("decoded")
