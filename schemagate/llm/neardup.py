@@ -210,10 +210,16 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int")
     mixed = mixed.select("band", "bucket", "centre", blocks.alias("blocks"))
     member = bands.join(mixed, ["band", "bucket"]).select("band", "bucket", "centre", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    member = keep(member, "dup-members")
-    mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    texts = docs.join(keep(member.select(F.col("rep").alias("doc_id")).distinct(), "dup-wanted"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    member = member.select("band", "bucket", "centre", "rep", "block", F.explode(mates).alias("mates")).join(labelled, "rep").join(texts, "rep")
+    # texts meet documents once, not once for each bucket: at most one place a band is gathered by document
+    places = member.groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "centre", "blocks", "block")).alias("places"))
+    places = keep(places, "dup-members")
+    mates = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(
+        p["band"].alias("band"), p["bucket"].alias("bucket"), p["centre"].alias("centre"), p["block"].alias("block"),
+        F.struct(F.least(p["block"], k).alias("i"), F.greatest(p["block"], k).alias("j")).alias("mates"),
+    ))))
+    texts = docs.withColumnRenamed("doc_id", "rep").join(places.select("rep"), "rep", "left_semi")
+    member = places.join(labelled, "rep").join(texts, "rep").select("rep", "label", "n_shingles", "sketch", "text", F.explode(mates).alias("place"))
+    member = member.select("place.*", "rep", "label", "n_shingles", "sketch", "text")
     groups = member.groupBy("band", "bucket", "centre", "mates").agg(F.collect_list(F.struct("rep", "label", "n_shingles", "block", "sketch", "text")).alias("members"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
