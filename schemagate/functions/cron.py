@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 # Lowest and highest value of each field.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6))
-HORIZON_DAYS = 366
-SPANS = (7, 31, 93)
+#: A given weekday on 29 February returns within 40 years, everything else sooner.
+HORIZON_DAYS = 41 * 366
+SPANS = (7, 31, 93, 366, 8 * 366)
 
 
 def _field_values(field: str, name: str, low: int, high: int) -> list[int]:
@@ -61,7 +62,7 @@ def cron_match(expression: str, ts: Column, monday_zero: bool = False) -> Column
 
 def _number(c: Column) -> Column:
     # Only digits reach the cast: failed casts are slow.
-    return F.when(c.rlike("^[0-9]{1,4}$"), c).cast("int")
+    return F.when(c.rlike("^[0-9]{1,9}$"), c).cast("int")
 
 
 def _value_array(field: Column, low: int, high: int) -> Column:
@@ -85,9 +86,9 @@ def with_next_due(
 ) -> DataFrame:
     """Add the first minute after column ``after`` at which the schedule in column ``cron`` fires.
 
-    Null for malformed schedules and for those that do not fire within the horizon. The rest of
-    the first day is searched by minute of day and later days by date, so a row costs at most
-    ``horizon_days`` dates instead of a calendar of minutes.
+    Null for malformed schedules and for those that never fire, such as 30 February; a smaller
+    ``horizon_days`` also gives up on later dates. The rest of the first day is searched by minute of
+    day and later days by date, so a row costs at most that many dates instead of a calendar of minutes.
     """
     fields = F.split(F.trim(F.col(cron)), r"\s+")
     arrays = {f"__{n}": _value_array(F.get(fields, i), low, high) for i, (n, low, high) in enumerate(FIELDS)}
@@ -114,6 +115,10 @@ def with_next_due(
     # Most schedules fire soon, so the horizon is searched in growing spans until one has a day.
     ends = [e for e in SPANS if e < horizon_days] + [horizon_days]
     later = F.coalesce(*[first_within(start + 1, end) for start, end in zip([0, *ends], ends)])
+    # Days that no listed month has are not searched for.
+    days_of = {29: [2], 30: [4, 6, 9, 11], 31: [1, 3, 5, 7, 8, 10, 12]}
+    longest = F.greatest(*[F.when(F.arrays_overlap("__month", F.array(*map(F.lit, m))), n) for n, m in days_of.items()])
+    later = F.when(F.array_min("__day") <= longest, later)
     parsed = parsed.withColumn(
         "__later_today", F.when(fires_on(today), F.get(F.filter("__minutes", lambda m: m > now), 0))
     ).withColumn("__later_day", F.when(F.col("__later_today").isNull(), later))

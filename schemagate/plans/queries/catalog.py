@@ -161,8 +161,7 @@ def cascade_orphans(spark, sf):
     """Artifacts left after the inactive datasets are deleted with their runs."""
     runs = _table(spark, sf, "runs")
     deleted = _table(spark, sf, "datasets").filter("not active")
-    kept_runs = op.without_children_of(runs, deleted, "dataset_id")
-    gone = runs.select("id").join(kept_runs.select("id"), "id", "left_anti")
+    gone = runs.join(deleted.select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi").select("id")
     return op.without_children_of(_table(spark, sf, "artifacts"), gone, "run_id").select("id", "run_id", "kind", "size_bytes")
 
 

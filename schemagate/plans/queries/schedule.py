@@ -42,4 +42,4 @@ def next_due(spark, sf):
     scheduled = last.join(people, "c_custkey").selectExpr(
         "c_custkey", f"{CRON} as schedule", "cast(last + make_dt_interval(0, 0, c_custkey * 7, 0) as timestamp_ntz) as after"
     )
-    return cron.with_next_due(scheduled, "schedule", "after").select("c_custkey", "after", "due_at")
+    return cron.with_next_due(scheduled, "schedule", "after", horizon_days=366).select("c_custkey", "after", "due_at")

@@ -21,6 +21,8 @@ EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xls")
 DATASET_EXTENSIONS = ("csv", "xlsx", "xls")
 TEXT_EXTENSIONS = ("csv", "tsv", "txt")
 DELIMITERS = (",", ";", "\t", "|")
+# The upper half of a code page as Latin-1 reads it, and as the Cyrillic page does.
+LATIN, CYRILLIC = "".join(map(chr, range(128, 256))), bytes(range(128, 256)).decode("cp1251", "replace")
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -77,8 +79,9 @@ def detect_encoding(content: Column) -> Column:
 def decode(content: Column) -> Column:
     """Text of a file, byte order mark removed."""
     valid = F.is_valid_utf8(content.cast("string"))
-    # Decoding by code page needs spark.sql.legacy.javaCharsets=true; UTF-8 does not.
-    text = F.when(valid, content.cast("string")).otherwise(F.decode(content, "windows-1251"))
+    # Spark itself decodes by this code page only under a legacy setting.
+    page = F.translate(F.decode(content, "ISO-8859-1"), LATIN, CYRILLIC)
+    text = F.when(valid, content.cast("string")).otherwise(page)
     return F.regexp_replace(text, "^﻿", "")
 
 
@@ -116,22 +119,22 @@ def read_mixed(
     skip_rows: int = 0,
     max_rows: int | None = None,
 ) -> DataFrame:
-    """Rows of admitted text files as (file_id, row_id, cells); row ids count from 0 in each file.
+    """Rows of admitted text files as (file_id, row_id, cells); row ids count the lines that are not empty from 0 in each file.
 
-    Cells must not hold line breaks; read such files with ``read_delimited(multiline=True)``.
+    ``skip_rows`` lines in front are left out, empty ones among them; ``max_rows`` rows are read after the first. Cells must not hold line breaks; read such files with ``read_delimited(multiline=True)``.
     """
     files = listing.filter(file_extension(F.col("path")).isin(list(TEXT_EXTENSIONS))).select(
         F.col("path").alias("file_id"), decode(F.col("content")).alias("text")
     )
     sep = F.lit(delimiter) if delimiter else detect_delimiter(F.col("text"))
-    lines = files.select(
-        "file_id", sep.alias("sep"), F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line_no", "line")
-    ).filter((F.col("line_no") >= skip_rows) & (F.length("line") > 0))
+    every = F.split("text", "\r\n|\n|\r")
+    taken = F.filter(every, lambda line, i: (i >= skip_rows) & (F.length(line) > 0))
+    lines = files.select("file_id", sep.alias("sep"), F.posexplode(taken).alias("row_id", "line"))
     if max_rows is not None:
-        lines = lines.filter(F.col("line_no") <= skip_rows + max_rows)
+        lines = lines.filter(F.col("row_id") <= max_rows)
     return lines.select(
         "file_id",
-        (F.col("line_no") - skip_rows).cast("bigint").alias("row_id"),
+        F.col("row_id").cast("bigint"),
         split_cells(F.col("line"), F.col("sep")).alias("cells"),
     )
 

@@ -37,6 +37,13 @@ def test_next_due(spark):
     assert got == [_next(c, t) for c, t in CASES]
 
 
+def test_next_due_years_ahead(spark):
+    cases = [("30 14 29 2 *", datetime(2025, 3, 1), datetime(2028, 2, 29, 14, 30)), ("0 6 29 2 *", datetime(2096, 3, 1), datetime(2104, 2, 29, 6)),
+             ("0 0 29 2 1", datetime(2024, 3, 1), datetime(2044, 2, 29)), ("0 0 30 2 *", datetime(2025, 1, 1), None), ("0 0 31 4,6 *", datetime(2025, 1, 1), None)]
+    df = spark.createDataFrame([c[:2] for c in cases], "c string, t timestamp_ntz")
+    assert [r.due_at for r in cron.with_next_due(df, "c", "t").collect()] == [due for *_, due in cases]
+
+
 def test_weekday_base(spark):
     monday = spark.createDataFrame([(datetime(2025, 1, 6, 10),)], "t timestamp_ntz")
     hit = lambda e, **k: monday.select(cron.cron_match(e, F.col("t"), **k)).first()[0]

@@ -50,6 +50,16 @@ def test_mixed_folder(spark, tmp_path):
     assert sums.filter(F.length("checksum") == 64).count() == 4
 
 
+def test_code_page_and_blank_lines(spark, tmp_path):
+    upper = bytes(b for b in range(128, 256) if b != 0x98)
+    text = upper.decode("cp1251")
+    frame = spark.createDataFrame([(bytearray(upper),), (bytearray(("\ufeff" + text).encode()),)], "c binary")
+    assert [r[0] for r in frame.select(files.decode(F.col("c"))).collect()] == [text, text]
+    write(str(tmp_path / "b" / "x.csv"), "title\n\na,b\n\n\n1,2\n\n3,4\n5,6\n")
+    got = files.read_mixed(files.list_files(spark, str(tmp_path / "b")), skip_rows=1, max_rows=2)
+    assert [(r.row_id, r.cells) for r in got.orderBy("row_id").collect()] == [(0, ["a", "b"]), (1, ["1", "2"]), (2, ["3", "4"])]
+
+
 def test_generic_header_row(spark, tmp_path):
     base = str(tmp_path / "g")
     write(f"{base}/x.csv", "Column_1,Column_2\nmay,7\nPeriod,Department name\n2025-01,roads\n")
