@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,10 +24,15 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 
-#: Strings that are tested for token efficiency, and the characters per token below which they count as random:
-#: those that mix letters and digits, and those of one sort, where invented words come close.
+#: Strings that are tested for token efficiency. They count as random from the tokens that random text of their own
+#: alphabet and length has, less SLACK standard deviations, and in any case below so many characters per token: those
+#: that mix letters and digits, and others.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-FEW_MIXED, FEW_PLAIN = 1.8, 1.5
+SLACK, FEW_MIXED, FEW_PLAIN = 2.0, 1.8, 1.5
+LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
+#: From the narrowest; text of digits alone or with marks between has no alphabet.
+ALPHABETS = (DIGITS + "abcdef", DIGITS + "ABCDEF", LOWER, UPPER, LOWER + UPPER, LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER + DIGITS)
+SAMPLES, SAMPLE_LENGTH = 300, 64
 #: Lengths in hex digits of usual digests, and shapes of usual identifiers, which are not secrets.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 IDENTIFIERS = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+|(.)\2*|[a-z]+([-_/][a-z]+)+|[A-Z]+([-_/][A-Z]+)+"
@@ -48,15 +57,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in _hex.finditer(text)])  # a run of 32 is the whole run
 
 
+@lru_cache(maxsize=1)
+def random_tokens(encoding) -> list[tuple[frozenset, float, float]]:
+    """Mean and variance of the tokens a character of random text has, for each alphabet; the samples are fixed."""
+    draw, out = random.Random(0), []
+    for alphabet in ALPHABETS:
+        n = [len(encoding.encode_ordinary("".join(draw.choices(alphabet, k=SAMPLE_LENGTH)))) / SAMPLE_LENGTH for _ in range(SAMPLES)]
+        mean = sum(n) / SAMPLES
+        out.append((frozenset(alphabet), mean, sum((x - mean) ** 2 for x in n) / (SAMPLES - 1) * SAMPLE_LENGTH))
+    return out
+
+
+def looks_random(s: str, encoding) -> bool:
+    """Whether a string has as many tokens as random text; digests and identifiers never count."""
+    if len(s) in DIGEST_LENGTHS and _digest.fullmatch(s) or _identifier.fullmatch(s):
+        return False
+    n, used = len(encoding.encode_ordinary(s)), frozenset(s)
+    letters = not used.isdisjoint(LOWER + UPPER)
+    if len(s) < (FEW_MIXED if letters and not used.isdisjoint(DIGITS) else FEW_PLAIN) * n:
+        return True
+    level = next(((m, v) for a, m, v in random_tokens(encoding) if used <= a), None) if letters else None
+    return level is not None and n >= level[0] * len(s) - SLACK * math.sqrt(level[1] * len(s))
+
+
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Strings of few characters per token outside the spans already taken, digests and identifiers left out."""
     found = []
     for m in _candidate.finditer(text):
-        s = m[0]
-        if len(s) in DIGEST_LENGTHS and _digest.fullmatch(s) or _identifier.fullmatch(s):
-            continue
-        mixed = re.search("[0-9]", s) and re.search("[A-Za-z]", s)
-        if len(s) >= (FEW_MIXED if mixed else FEW_PLAIN) * len(encoding.encode_ordinary(s)):
+        if not looks_random(m[0], encoding):
             continue
         if not any(a < m.end() and m.start() < b for a, _, b in taken):
             found.append((m.start(), 3, m.end()))

@@ -76,6 +76,20 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty, RANKS, public_tokenizers.PATTERN).count() == 0 and secrets.mask_secrets(empty, RANKS, public_tokenizers.PATTERN).columns == empty.columns
 
 
+def test_random_strings_of_every_alphabet():
+    import random
+    import string
+
+    encoding, draw = secrets.vocabulary(RANKS, public_tokenizers.PATTERN), random.Random(5)
+    lower, upper, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (lower, upper, lower + upper, digits + "abcdef", digits + "ABCDEF", lower + digits, lower + upper + digits):
+        for length in (16, 24, 31):
+            texts = ["see " + "".join(draw.choices(alphabet, k=length)) + " there" for _ in range(200)]
+            assert sum(secrets.random_spans(t, encoding, []) == [(4, 3, 4 + length)] for t in texts) >= 180, (alphabet, length)
+    words = "internationalization Bundesverfassungsgericht incomprehensibilities characteristically 4155552671000000 2024-01-01-12345678 INTERNATIONALIZATION"
+    assert secrets.random_spans(words, encoding, []) == []
+
+
 def test_pieces_equal_the_library(docs, empty):
     import sentencepiece
 
