@@ -27,7 +27,10 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 #: Strings that are tested for token efficiency. They count as random from the tokens that random text of their own
 #: alphabet and length has, less SLACK standard deviations, and in any case below so many characters per token: those
 #: that mix letters and digits, and others.
+SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Where runs are split, and the characters per token from which a part of letters is a word.
+MARKS, READABLE = "=/_-", 2.5
 SLACK, FEW_MIXED, FEW_PLAIN = 2.0, 1.8, 1.5
 LOWER, UPPER, DIGITS = string.ascii_lowercase, string.ascii_uppercase, string.digits
 #: From the narrowest; text of digits alone or with marks between has no alphabet.
@@ -38,6 +41,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 IDENTIFIERS = r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]+|(.)\2*|[a-z]+([-_/][a-z]+)+|[A-Z]+([-_/][A-Z]+)+"
 
 _assign, _access, _hex = re.compile(ASSIGN, re.IGNORECASE | re.ASCII), re.compile(ACCESS), re.compile(r"[0-9a-f]{32,}")
+_part, _uuid = re.compile(f"[^{MARKS}]+"), re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
 _candidate, _identifier, _digest = re.compile(CANDIDATE), re.compile(IDENTIFIERS), re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 
@@ -80,17 +84,90 @@ def looks_random(s: str, encoding) -> bool:
     return level is not None and n >= level[0] * len(s) - SLACK * math.sqrt(level[1] * len(s))
 
 
+def random_ranges(s: str, encoding) -> list[tuple[int, int]]:
+    """Ranges of a run of candidate characters that look random.
+
+    The whole run, else its stretches between readable parts, else the parts of such a stretch: a name or path before a
+    random string would hide it. Identifiers by UUID are cut out first.
+    """
+    known = [m.span() for m in _uuid.finditer(s)]
+    if not known and looks_random(s, encoding):
+        return [(0, len(s))]
+    within = {m.start() for a, b in known for m in _part.finditer(s, a, b)}
+    out, at = [], 0
+    parts = [(*m.span(), m.start() in within or _readable(m[0], encoding)) for m in _part.finditer(s)]
+    while at < len(parts):
+        end = at
+        while end < len(parts) and not parts[end][2]:
+            end += 1
+        a, b = parts[at][0], parts[max(at, end - 1)][1]
+        if end > at + 1 and b - a >= SHORTEST and looks_random(s[a:b], encoding):
+            out.append((a, b))
+        else:
+            out += [(x, y) for x, y, _ in parts[at : max(end, at + 1)] if y - x >= SHORTEST and looks_random(s[x:y], encoding)]
+        at = max(end, at + 1)
+    return out
+
+
+def _readable(part: str, encoding) -> bool:
+    """A part of letters alone that few tokens write; all other parts may belong to a random string."""
+    return len(part) > 2 and part.isalpha() and len(part) >= READABLE * len(encoding.encode_ordinary(part))
+
+
 def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Strings of few characters per token outside the spans already taken, digests and identifiers left out."""
+    """Strings of few characters per token outside the spans already taken, digests and identifiers left out.
+
+    Of a random string that touches such spans, what goes on without a mark between counts whatever its length;
+    the rest of a run is judged for itself.
+    """
     found = []
     for m in _candidate.finditer(text):
-        if not looks_random(m[0], encoding):
+        at, stop = m.span()
+        cuts = [(a, b) for a, _, b in taken if a < stop and at < b]
+        ranges = [(at + a, at + b) for a, b in random_ranges(m[0], encoding)]
+        if not cuts:
+            found += [(a, 3, b) for a, b in ranges]
             continue
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            found.append((m.start(), 3, m.end()))
+        starts, ends = {b for _, b in cuts}, {a for a, _ in cuts}
+        # a longer random string goes on over the edge of the span
+        over = [
+            (a, b) for a, b in _without(ranges, cuts)
+            if a in starts and text[a] not in MARKS or b in ends and text[b - 1] not in MARKS
+        ]
+        for a, b in _without([(at, stop)], cuts):
+            over += [(a + x, a + y) for x, y in random_ranges(text[a:b], encoding)] if b - a >= SHORTEST else []
+        found += [(a, 3, b) for a, b in _merged(over)]
     return found
 
 
+def _without(ranges: list[tuple[int, int]], cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges less the cuts; both are in order."""
+    out, k = [], 0
+    cuts = _merged(cuts)
+    for a, b in ranges:
+        while k < len(cuts) and cuts[k][1] <= a:
+            k += 1
+        for c, d in cuts[k:]:
+            if c >= b:
+                break
+            if a < c:
+                out.append((a, c))
+            a = max(a, d)
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
