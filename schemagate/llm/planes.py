@@ -52,7 +52,8 @@ class Encoder:
     The vocabulary's pre-tokenizer always breaks before a space that follows something other than white space,
     around a single line break, and between a letter or digit and marks. So words between such places are encoded
     on their own, each distinct one once and many in one call; texts with other white space than single spaces and
-    line breaks are cut only before single spaces.
+    line breaks are cut only before single spaces. Texts that hold an added token, such as <|endoftext|>, are encoded
+    whole, as the library finds these before all else.
     """
 
     _odd, _gap = re.compile(r"\s\s"), re.compile(r"(?<=\S) ")
@@ -61,8 +62,10 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # of words alone
+        added = sorted((re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()), reverse=True)
+        self.added = re.compile("|".join(added) or "(?!)")
         self.line = self._ids("\n")
         opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
@@ -121,12 +124,14 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian ids of each text; null counts as empty. Every text is a list of lines, a line a list of words."""
+        whole = {i: np.array(self.whole.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() for i, t in enumerate(texts) if t and self.added.search(t)}
+        texts = [None if i in whole else t for i, t in enumerate(texts)]
         cut = [[] if not t else [self._gap.split(t)] if self._odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
         self._learn({line[0] for lines in cut for line in lines}, "\n")
         self._learn({w for lines in cut for line in lines for w in line[1:]}, " ")
         first, rest, line_break = self.known["\n"], self.known[" "].__getitem__, self.line.tobytes()
-        for lines in cut:
-            yield line_break.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines])
+        for i, lines in enumerate(cut):
+            yield whole[i] if i in whole else line_break.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines])
 
 
 def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = 3, end_id: int = END_ID) -> None:
