@@ -1,14 +1,16 @@
 """Invoices out of line items: exact amounts, document text, registry.
 
-Amounts are decimals, rounded half-even to two places. Totals are sums with map-side combine. An
-invoice of up to ``part_lines`` lines becomes one document; a larger one becomes a sequence of
-parts of that many lines each, so that no task ever holds more than one part.
+Amounts are decimals, rounded half-even to two places. Totals are sums with map-side combine. The
+document of an invoice is a sequence of parts of up to ``part_lines`` lines each, mostly a single one, so
+that no task ever holds more than a few parts. Names and checksums are those of the whole document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from schemagate.plans.skew import flag_repeated, hot_keys, number_hot, number_wi
 from schemagate.profiles import Profile
 
 PART_LINES = 100_000
-DIGEST_FANIN = 10_000
 CURRENCY = "EUR"
 
 # Targets an invoice batch cannot do without.
@@ -343,32 +344,52 @@ def document_path(invoice_id: Column) -> Column:
     return F.concat(F.lit("inv_"), safe_filename(invoice_id.cast("string")), F.lit(".xml"))
 
 
+def whole_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per invoice: invoice_id, carry, illegal, chars, md5 and sha256 of its whole document.
+
+    ``carry`` are columns equal in all parts. These digests run over a text from its start to its end, so the
+    parts of one document pass through one task, in order and one after the other; it holds no whole document.
+    """
+    kept = ["invoice_id", *carry]
+    single = docs.filter(F.col("n_parts") == 1).select(
+        *kept, "illegal", F.length("document").cast("bigint").alias("chars"), F.md5("document").alias("md5"),
+        F.sha2("document", 256).alias("sha256"),
+    )
+    names = single.columns
+    ordered = (
+        docs.filter(F.col("n_parts") > 1)
+        .select(*kept, "illegal", "part_no", "n_parts", "document")
+        .repartition("invoice_id").sortWithinPartitions("invoice_id", "part_no")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chars, illegal, md5, sha256 = 0, False, hashlib.md5(), hashlib.sha256()
+        for batch in batches:
+            part_no, n_parts = batch["part_no"].to_pylist(), batch["n_parts"].to_pylist()
+            for i, document in enumerate(batch["document"]):
+                if part_no[i] == 0:
+                    chars, illegal, md5, sha256 = 0, False, hashlib.md5(), hashlib.sha256()
+                text, illegal = document.as_py(), illegal or batch["illegal"][i].as_py()
+                chars = None if text is None or chars is None else chars + len(text)
+                raw = (text or "").encode("utf-8")
+                md5.update(raw)
+                sha256.update(raw)
+                if part_no[i] == n_parts[i] - 1:
+                    sums = (None, None) if chars is None else (md5.hexdigest(), sha256.hexdigest())
+                    own = [pa.array([illegal]), pa.array([chars], pa.int64()), *(pa.array([v], pa.string()) for v in sums)]
+                    yield pa.RecordBatch.from_arrays([*batch.select(kept).slice(i, 1).columns, *own], names)
+
+    return single.unionByName(ordered.mapInArrow(run, single.schema))
+
+
 def registry(docs: DataFrame, unique_names: bool = False) -> DataFrame:
     """One row per invoice: path, currency, payable amount, checksum, status, error.
 
-    The checksum is the SHA-256 of the document. That of a document in parts is the SHA-256 of the
-    SHA-256 values of its parts in order, taken in runs so that no step joins more than a run.
+    The checksum is the SHA-256 of the document, of however many parts.
     ``unique_names`` says that the ids cannot turn into one file name.
     """
-    kept = ["invoice_id", "payable", "illegal"]
-    summed = docs.select(*kept, "part_no", "n_parts", F.sha2("document", 256).alias("sha"))
-    single = summed.filter(F.col("n_parts") == 1).select(*kept, F.col("sha").alias("checksum"))
-
-    def chained(step: str) -> Column:
-        ordered = F.sort_array(F.collect_list(F.struct(step, "sha")))
-        return F.sha2(F.array_join(F.transform(ordered, lambda x: x["sha"]), ""), 256).alias("sha")
-
-    flag = F.bool_or("illegal").alias("illegal")
-    runs = (
-        summed.filter(F.col("n_parts") > 1)
-        .withColumn("run", F.floor(F.col("part_no") / DIGEST_FANIN))
-        .groupBy("invoice_id", "payable", "run")
-        .agg(chained("part_no"), flag)
-    )
-    several = runs.groupBy("invoice_id", "payable").agg(chained("run"), flag).select(
-        *kept, F.col("sha").alias("checksum")
-    )
-    rows = single.unionByName(several).withColumn("file_path", document_path(F.col("invoice_id")))
+    rows = whole_documents(docs, ["payable"]).withColumnRenamed("sha256", "checksum")
+    rows = rows.withColumn("file_path", document_path(F.col("invoice_id")))
     if not unique_names:
         rows = flag_repeated(rows, "file_path", "shared")
         suffix = F.left(F.sha2(F.col("invoice_id").cast("string"), 256), F.lit(8))

@@ -170,26 +170,27 @@ def export_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
 def write_document_files(named: DataFrame, directory: str) -> int:
     """One file per document (file_path, part_no, n_parts, document) in a directory all executors share.
 
-    The parts of a document too long for one row become numbered files; invoices without a path,
-    those in error, are passed over.
+    A document has one file, named the same way, of however many parts; its parts are written in order by one
+    task. Invoices without a path, those in error, are passed over. Returns the number of parts written.
     A file is written under a passing name and then renamed, so a re-run task only repeats itself.
     """
     def write(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for name, document in zip(batch["file_path"], batch["document"]):
+            for name, part_no, n_parts, document in zip(batch["file_path"], batch["part_no"], batch["n_parts"], batch["document"]):
                 final = os.path.join(directory, name)
-                passing = f"{final}.{uuid.uuid4().hex}.tmp"
-                with open(passing, "w", encoding="utf-8", newline="") as f:
+                if part_no == 0:
+                    passing = f"{final}.{uuid.uuid4().hex}.tmp"
+                with open(passing, "w" if part_no == 0 else "a", encoding="utf-8", newline="") as f:
                     f.write(document)
-                os.replace(passing, final)
+                if part_no == n_parts - 1:
+                    os.replace(passing, final)
             yield pd.DataFrame({"n": [len(batch)]})
 
     os.makedirs(directory, exist_ok=True)
-    numbered = F.concat("file_path", F.lit("."), F.lpad(F.col("part_no").cast("string"), 8, "0"))
-    files = named.filter(F.col("file_path") != "").select(
-        F.when(F.col("n_parts") > 1, numbered).otherwise(F.col("file_path")).alias("file_path"), "document"
-    )
+    files = named.filter(F.col("file_path") != "").select("file_path", "part_no", "n_parts", "document")
+    several = files.filter(F.col("n_parts") > 1).repartition("file_path").sortWithinPartitions("file_path", "part_no")
+    files = files.filter(F.col("n_parts") == 1).unionByName(several)
     written = files.mapInPandas(write, "n bigint")
     return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

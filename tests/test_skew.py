@@ -1,5 +1,6 @@
 """Hot groups take other plans; their rows must be the same as with plain ones."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from schemagate.operators import catalog, invoices
 from schemagate.operators.profiling import duplicate_rows
 from schemagate.plans import skew
+from schemagate.sinks.export import write_document_files
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +94,24 @@ def test_documents_in_parts_add_up(spark):
     key = ["invoice_id", "payable_amount", "status"]
     assert rows(invoices.registry(docs(7)), *key) == rows(invoices.registry(docs(1000)), *key)
     assert invoices.registry(docs(7)).count() == len(whole)
+
+
+def test_one_checksum_and_file_on_both_sides_of_the_border(spark, tmp_path):
+    lines = _lines(spark)
+
+    def docs(part_lines):
+        return invoices.documents(invoices.nested_lines(lines, ["row_id"], ["floor(row_id / 8)"], ["issue_date"], part_lines))
+
+    def files(part_lines, name):
+        named = docs(part_lines).join(invoices.registry(docs(part_lines)).select("invoice_id", "file_path"), "invoice_id")
+        write_document_files(named, str(tmp_path / name))
+        return {f.name: f.read_bytes() for f in (tmp_path / name).iterdir()}
+
+    whole = {r.invoice_id: r.document for r in docs(60).collect()}  # 60 lines are the most of one invoice
+    want = rows(invoices.registry(docs(60)))
+    sums = rows(invoices.whole_documents(docs(60), ["line_count"]))
+    assert {r[0]: r[4] for r in want} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in whole.items()}
+    for part_lines in (59, 7):
+        assert docs(part_lines).count() > len(whole)
+        assert rows(invoices.registry(docs(part_lines))) == want and rows(invoices.whole_documents(docs(part_lines), ["line_count"])) == sums
+    assert files(7, "parts") == files(60, "whole")
