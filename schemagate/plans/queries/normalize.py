@@ -247,6 +247,17 @@ def norm_unicode(spark, sf):
     return compose_columns(wide, ["text"]).select("doc_id", F.sha2("text", 256).alias("text_sha"))
 
 
+#: Letters with their marks behind them, and the same letters in one piece.
+LOOSE, JOINED = "Раи\u0306он И\u0306ога cafe\u0301 U\u0308ber", "Район Йога café Über"
+
+
+@query(f"select c_custkey, nfc_normalize(c_name || ' {LOOSE}') as loose, c_mktsegment || ' {JOINED}' as joined, length(nfc_normalize(c_name || ' {LOOSE}')) as n_chars from customer")
+def norm_unicode_marks(spark, sf):
+    """Letters and marks become one letter where there is one; composed letters stay as they are."""
+    rows = load(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(f" {LOOSE}")).alias("loose"), F.concat("c_mktsegment", F.lit(f" {JOINED}")).alias("joined"))
+    return compose_columns(rows, ["loose", "joined"]).withColumn("n_chars", F.length("loose").cast("bigint"))
+
+
 RAW_FILE = "' ' || p_name || ' (' || p_type || ') ' || p_brand || repeat('/x', cast(p_size as int)) || '.CSV '"
 
 

@@ -71,6 +71,15 @@ def test_slugs(spark):
     assert len(got[2]) == 89 and got[2].startswith("a" * 50 + "-" + "b" * 29 + "-")
 
 
+def test_unicode_letters_with_marks(spark):
+    """й, Й, é, è and Ü stay or become one letter, whichever way they come in."""
+    loose = ["Раи\u0306он", "И\u0306ога", "cafe\u0301", "e\u0300", "U\u0308ber", "ascii", None, "", "ﬁ\u00a0①"]
+    joined = ["Район", "Йога", "café", "è", "Über", "ascii", None, "", "fi 1"]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(loose, joined))], "id int, a string, b string")
+    got = compose_columns(df, ["a", "b"]).orderBy("id").collect()
+    assert [r.a for r in got] == joined and [r.b for r in got] == joined
+
+
 def test_unicode(spark):
     df = spark.createDataFrame([(1, "ﬁne", "x"), (2, None, "½"), (3, "A\xa0b", None)], "i int, a string, b string")
     got = [tuple(r) for r in compose_columns(df, ["a", "b"]).orderBy("i").collect()]
