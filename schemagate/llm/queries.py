@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagate.llm import brown, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
+from schemagate.llm import brown, centroids, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
 from schemagate.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,26 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def _centroid_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """The rounds written out one after another."""
+    nearest = """a{k} as materialized (select vec_id, row_id, x, dist, c, centre from (
+  select v.*, m.c, m.centre, (list_inner_product(x, x) - 2 * list_inner_product(x, centre) + list_inner_product(centre, centre))::bigint as dist,
+         row_number() over (partition by row_id order by dist, m.c) as place from v cross join m{k} m) where place = 1)"""
+    moved = """n{k} as (select c, i, floor(sum(x[i]) / count(*)) as mean from a{k}, range(1, 65) r(i) group by all),
+m{n} as materialized (select m.c, coalesce((select list(mean order by i) from n{k} n where n.c = m.c), centre) as centre from m{k} m)"""
+    steps = ["""v as materialized (select vec_id, row_number() over () as row_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0)""",
+             f"m0 as materialized (select row_number() over (order by h, x) - 1 as c, x as centre from (select sha256('2:' || vec_id) as h, x from v order by 1, 2 limit {clusters}))"]
+    for k in range(rounds):
+        steps += [nearest.format(k=k), moved.format(k=k, n=k + 1)]
+    steps.append(nearest.format(k=rounds))
+    return f"""with {", ".join(steps)}
+select vec_id, c::int as cluster, dist as distance, sum(dist) over (partition by c)::bigint as cluster_inertia, sum(dist) over ()::bigint as inertia,
+       sha256(array_to_string(list_transform(centre, lambda e: e::bigint), ',')) as centroid_sha256 from a{rounds}"""
+
+
+@query(_centroid_sql())
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(load(spark, sf_dir, "embeddings"))
