@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagate.llm import brown, centroids, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
+from schemagate.llm import brown, centroids, kdshards, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
 from schemagate.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,3 +151,10 @@ select vec_id, c::int as cluster, dist as distance, sum(dist) over (partition by
 @query(_centroid_sql())
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(load(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: DuckDB has no crc32."""
+    plan = kdshards.shard_documents(load(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
