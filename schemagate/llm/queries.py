@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemagate.llm import brown, centroids, kdshards, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
+from schemagate.llm import brown, centroids, kdshards, merkle, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
 from schemagate.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,38 @@ def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: DuckDB has no crc32."""
     plan = kdshards.shard_documents(load(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _merkle_sql(levels: int = 7, upper: int = 3) -> str:
+    """Levels written out: trees of up to 8^levels leaves and 8^upper languages."""
+    field = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')".format
+    head = " || ".join(map(field, merkle.FIELDS[:-1]))
+    # crc32 of the id's digits: each is followed by eight steps of a bit
+    steps = "flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {steps}), lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end))"
+    ctes = [f"""d as materialized (select doc_id, coalesce('=' || lang, '') as tree, sha256({head} || {field("text")}) as h,
+  sha256({head} || {field(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")}) as lowered, {crc} % 3 = 0 as tampered from documents)""",
+            """l as materialized (select *, case when tampered then lowered else h end as t, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i from d)""",
+            "n0 as materialized (select tree, i, h, count(*) over (partition by tree) as m from l)"]
+
+    def rounds(name: str, n: int) -> None:
+        for k in range(n):
+            ctes.append(f"""{name}s{k} as materialized (select tree, i, m, coalesce(string_agg(h, '') over (partition by tree, i // 8 order by i rows between unbounded preceding and 1 preceding), '') as lo,
+  coalesce(string_agg(h, '') over (partition by tree, i // 8 order by i rows between 1 following and unbounded following), '') as hi from {name}n{k})""")
+            ctes.append(f"{name}n{k + 1} as materialized (select tree, i // 8 as i, case when m > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h, (m + 7) // 8 as m from {name}n{k} group by tree, m, i // 8)")
+
+    rounds("", levels)
+    ctes.append(f"un0 as materialized (select '' as tree, row_number() over (order by tree) - 1 as i, h, count(*) over () as m, tree as name from n{levels})")
+    rounds("u", upper)
+    ctes.append("f0 as (select l.doc_id, l.tree, l.i, l.h as leaf, l.t, un0.i as u, un0.h as subroot, '' as proof from l join un0 on un0.name = l.tree)")
+    for k in range(levels + upper):
+        name, key, on = ("", f"f.i // {8**k}", "s.tree = f.tree and ") if k < levels else ("u", f"f.u // {8 ** (k - levels)}", "")
+        ctes.append(f"""f{k + 1} as materialized (select f.doc_id, f.tree, f.i, f.leaf, f.u, f.subroot, f.proof || s.lo || s.hi as proof, case when s.m > 1 then sha256(s.lo || f.t || s.hi) else f.t end as t
+  from f{k} f join {name}s{k if k < levels else k - levels} s on {on}s.i = {key})""")
+    return f"""with {", ".join(ctes)}
+select doc_id, leaf, subroot, root.h as root, sha256(proof) as proof_sha256, t as folded_root, t = root.h as verified from f{levels + upper}, un{upper} root"""
+
+
+@query(_merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(load(spark, sf_dir, "documents"))
