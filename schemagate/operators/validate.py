@@ -49,8 +49,24 @@ def rule(broken: Column, column: str, reason: Column | str, value: Column | None
     return Rule(F.coalesce(broken, F.lit(False)), record, severity)
 
 
-def required(name: str) -> Rule:
-    return rule(F.col(name).isNull(), name, "required_field_missing")
+def required(name: str, cell: Column | None = None, absent: str | None = None) -> Rule:
+    """``absent`` names a column that lists what the row's file has no column for: reported for the file, not the row."""
+    empty = (F.col(name) if cell is None else cell).isNull()
+    return rule(empty if absent is None else empty & ~F.array_contains(absent, name), name, "required_field_missing")
+
+
+def required_columns(files: DataFrame, matches: DataFrame, targets: Iterable[str]) -> DataFrame:
+    """(file_id, target) of required targets that no column of a file is matched with."""
+    wanted = files.select("file_id", F.explode(F.array(*map(F.lit, targets)).cast("array<string>")).alias("target"))
+    return wanted.join(matches.select("file_id", "target"), ["file_id", "target"], "left_anti")
+
+
+def column_errors(missing: DataFrame) -> DataFrame:
+    """Error records of absent columns (file_id, target), one each, keyed by the file with row -1."""
+    return missing.select(
+        F.concat_ws("#", "file_id", F.lit("-1")).alias("row_id"), F.col("target").alias("column"), F.lit("required_column_missing").alias("reason"),
+        F.lit("column not found in data").alias("value"), F.lit("error").alias("severity"),
+    )
 
 
 def numeric_rules(name: str, kind: str, parsed: Column, low=None, high=None) -> list[Rule]:
@@ -171,6 +187,7 @@ class Validation:
     key: str
     missing_columns: list[str]
     _scratch: tuple[str, ...] = ()
+    file_errors: DataFrame | None = None
 
     @property
     def valid(self) -> DataFrame:
@@ -178,8 +195,10 @@ class Validation:
 
     @property
     def errors(self) -> DataFrame:
-        """Error records; absent required columns add one record each, with row -1."""
+        """Error records; absent required columns add one record each, with row -1 (of the file, in a folder)."""
         found = error_rows(self.annotated, self.key)
+        if self.file_errors is not None:
+            found = found.unionByName(self.file_errors)
         if not self.missing_columns:
             return found
         spark = self.annotated.sparkSession
@@ -191,11 +210,11 @@ class Validation:
         return found.unionByName(absent)
 
 
-def _field_rules(name: str, spec: FieldSpec, profile: Profile, numbers: dict[str, str], days: dict[str, str]):
+def _field_rules(name: str, spec: FieldSpec, profile: Profile, numbers: dict[str, str], days: dict[str, str], absent: str | None = None):
     checks = spec.validation or {}
     rules: list[Rule | None] = []
     if spec.required:
-        rules.append(required(name))
+        rules.append(required(name, None, absent))
     if name in numbers:
         rules += numeric_rules(name, spec.type, F.col(numbers[name]), checks.get("min_value"), checks.get("max_value"))
     elif spec.type == "string":
@@ -222,12 +241,13 @@ def _parsed(name: str, numbers: dict[str, str], days: dict[str, str]) -> Column:
     return F.col(days.get(name, name)).alias(name)
 
 
-def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS) -> Validation:
+def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS, absent: str | None = None) -> Validation:
     """Check every row against the profile; works on raw text and on normalized tables.
 
     Parsed numbers and dates are projected once and shared by the rules. Only unique columns
     shuffle, and only by digests of their values. Columns kept as ``<name>__raw`` make a malformed
-    cell show up as such, instead of as a missing one.
+    cell show up as such, instead of as a missing one. ``absent`` names a column that lists the
+    targets for which the row's file has no column; their cells are not missing ones.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     present = {n: s for n, s in profile.columns.items() if n in types}
@@ -257,9 +277,9 @@ def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS
         if raw in types:
             reason = "invalid_date_format" if name in days else "not_numeric" if name in numbers else "invalid_value"
             rules.append(rule(F.col(name).isNull() & F.col(raw).isNotNull(), name, reason, F.col(raw)))
-        field_rules = _field_rules(name, spec, profile, numbers, days)
+        field_rules = _field_rules(name, spec, profile, numbers, days, absent)
         if raw in types and spec.required:
-            field_rules[0] = rule(F.col(raw).isNull(), name, "required_field_missing")
+            field_rules[0] = required(name, F.col(raw), absent)
         rules += field_rules
         if name in flags:
             rules.append(unique_rule(name, flags[name]))
@@ -270,7 +290,7 @@ def validate(df: DataFrame, profile: Profile, key: str, hot_rows: int = HOT_ROWS
         scratch[PARSED] = F.col(PARSED)
     rules += crossed
     annotated = with_errors(df, rules)
-    return Validation(annotated, key, missing, (*scratch, *flags.values()))
+    return Validation(annotated, key, missing, (*scratch, *flags.values(), *([absent] if absent else [])))
 
 
 # --- summaries ---------------------------------------------------------------------------------

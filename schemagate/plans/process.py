@@ -16,7 +16,8 @@ from schemagate.operators import catalog, headers
 from schemagate.operators.headers import column_mapping, map_columns
 from schemagate.operators.normalize import apply_mapping, clean_cells, drop_empty_rows, normalize_table
 from schemagate.operators.profiling import quality_metrics
-from schemagate.operators.validate import Validation, validate
+from schemagate.operators.validate import Validation, column_errors, required_columns, validate
+from schemagate.plans.durable import stored
 from schemagate.profiles import Profile
 from schemagate.sinks import export
 from schemagate.sources import files, workbook
@@ -68,23 +69,30 @@ def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Valid
     """Map, normalize and validate all admitted files of a folder at once.
 
     Also returns the matches made for each file, and what was left out, as (file_id, row_id, reason): files not
-    admitted, without a reader or without a matching header (row_id is null), and rows with more cells than
-    headers. Rows are keyed by ``row_key``: file and row number.
+    admitted, without a reader, without a matching header or ending inside a quoted cell (row_id is null), and rows with
+    more cells than headers. Rows are keyed by ``row_key``: file and row number. A required column that a file does not
+    have is one error of the file, with row -1. Rows are written once to ``spark.checkpoint.dir``, where that is set,
+    and every step reads them from there; else each file is read again by each step.
     """
     taken = files.admitted(listing, **limits)
-    rows = files.read_mixed(taken).unionByName(workbook.read_workbooks(taken))
-    located = headers.locate_headers(rows)
-    matches = headers.match_files(files.header_table(located), profile)
+    text = files.mixed_records(taken)
+    rows = stored(text.rows.unionByName(workbook.read_workbooks(taken)), "folder-rows")
+    located = stored(headers.locate_headers(rows), "folder-headers")
+    matches = stored(headers.match_files(files.header_table(located), profile), "folder-matches")
     table = files.mapped_table(rows, located, matches, profile.targets)
     keyed = table.withColumn("row_key", F.concat_ws("#", "file_id", F.col("row_id").cast("string")))
     cells = clean_cells(keyed.drop("file_id", "row_id"), WORKBOOK_NULL_TOKENS)
     named = taken.select(F.col("path").alias("file_id"))
+    matched, unclosed = matches.select("file_id").distinct(), stored(text.unclosed, "folder-unclosed")
     unread = named.filter(F.lower("file_id").endswith(".xls")).withColumn("reason", F.lit("no_reader"))
-    unmatched = named.filter(~F.lower("file_id").endswith(".xls")).join(matches.select("file_id").distinct(), "file_id", "left_anti")
+    unmatched = named.filter(~F.lower("file_id").endswith(".xls")).join(matched, "file_id", "left_anti").join(unclosed, "file_id", "left_anti")
     whole = files.rejected(listing, **limits).select(F.col("path").alias("file_id"), "reason").unionByName(unread)
-    whole = whole.unionByName(unmatched.withColumn("reason", F.lit("no_matching_header"))).withColumn("row_id", F.lit(None).cast("bigint"))
-    left_out = whole.unionByName(files.overlong_rows(rows, located).select("file_id", "row_id", F.lit("more_cells_than_headers").alias("reason")))
-    checked = validate(normalize_table(drop_empty_rows(cells, profile.targets), profile), profile, "row_key")
+    whole = whole.unionByName(unmatched.withColumn("reason", F.lit("no_matching_header"))).unionByName(unclosed.withColumn("reason", F.lit("quote_not_closed")))
+    over = files.overlong_rows(rows, located).select("file_id", "row_id", F.lit("more_cells_than_headers").alias("reason"))
+    left_out = whole.withColumn("row_id", F.lit(None).cast("bigint")).unionByName(over)
+    checked = validate(normalize_table(drop_empty_rows(cells, profile.targets), profile), profile, "row_key", absent="absent")
+    wanted = [name for name, spec in profile.columns.items() if spec.required]
+    checked.file_errors = column_errors(required_columns(matched, matches, wanted))
     return checked, matches, left_out.select("file_id", "row_id", "reason")
 
 

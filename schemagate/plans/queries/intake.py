@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from schemagate.plans.queries.base import load, query
 from schemagate.sources import files as op
+from schemagate.sources.records import split_records
 
 
 @query("select doc_id, sha256(text) as checksum, n_chars from documents")
@@ -56,6 +57,29 @@ def delimited_rows(spark, sf):
     )
 
 
+MIXED = "replace(replace(text, '\"', ''), chr(13), '')"
+
+
+@query(f"""select doc_id, row_id, md5(case mod(row_id, 3) when 0 then left(line, 10) || chr(10) || substr(line, 11) when 1 then line || 'x' else replace(line, ',', ';') end || '|' || row_id) as cells
+  from (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) - 1 as row_id from (select doc_id, {MIXED} as t from documents))""")
+def mixed_rows(spark, sf):
+    """Lines of the documents as records: over two lines, with text behind the closing quote, or plain and followed by an empty line."""
+    lines = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split(F.expr(MIXED), "\n")).alias("i", "line"))
+    line, n = F.col("line"), F.concat(F.lit(","), F.col("i").cast("string"))
+    two = F.array(F.concat(F.lit('"'), F.substring(line, 1, 10)), F.concat(F.expr("substr(line, 11)"), F.lit('"'), n))
+    plain = F.array(F.concat(F.replace(line, F.lit(","), F.lit(";")), n), F.lit("\r"))
+    record = F.when(F.col("i") % 3 == 0, two).when(F.col("i") % 3 == 1, F.array(F.concat(F.lit('"'), line, F.lit('"x'), n, F.lit("\r")))).otherwise(plain)
+    physical = lines.select("file_id", "i", F.posexplode(record).alias("k", "value"))
+    physical = physical.select("file_id", F.expr("2L * i + k").alias("line_id"), "value").withColumn("chunk", F.expr("(line_id + 1) div 7"))
+    rows = split_records(physical, ",").rows
+    return rows.select(F.col("file_id").cast("bigint").alias("doc_id"), "row_id", F.md5(F.array_join("cells", "|")).alias("cells"))
+
+
+@query("select o_orderkey, o_custkey, row_number() over (order by o_orderkey) - 1 as row_no from orders")
+def row_numbers(spark, sf):
+    return op.contiguous_ids(load(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+
+
 LISTING = """'up/' || source || '/' || lang || '/' || cast(doc_id as string) || case mod(doc_id, 5) when 0 then '.csv' when 1 then '.XLSX'
     when 2 then '.txt' when 3 then '.pdf' else '.xls' end"""
 

@@ -1,8 +1,8 @@
 """Intake of delimited files: listing, admission, encoding and delimiter detection, scanning.
 
 Two ways to read. :func:`read_delimited` hands uniform files of any size to Spark's splittable
-reader. :func:`read_mixed` takes a folder of admitted files, whose size is limited, with any mix of
-encodings and delimiters, in one plan; each file is decoded by one task.
+reader. :func:`read_mixed` takes a folder of admitted files of any size, with any mix of encodings and
+delimiters, in one plan; see :mod:`schemagate.sources.records`.
 """
 
 from __future__ import annotations
@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from schemagate.functions.text import file_extension
+from schemagate.plans.skew import number_hot
+from schemagate.sources.records import DELIMITERS, Records, decode_bytes, delimiter_of, read_records, split_cells  # noqa: F401
 
 CORRUPT = "_corrupt_record"
-# Extensions taken in, delimiters in order of preference.
+# Extensions taken in.
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xls")
 DATASET_EXTENSIONS = ("csv", "xlsx", "xls")
 TEXT_EXTENSIONS = ("csv", "tsv", "txt")
-DELIMITERS = (",", ";", "\t", "|")
-# The upper half of a code page as Latin-1 reads it, and as the Cyrillic page does.
-LATIN, CYRILLIC = "".join(map(chr, range(128, 256))), bytes(range(128, 256)).decode("cp1251", "replace")
+# Ids numbered by one task.
+ID_RUN = 2**20
 
 
 def list_files(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
@@ -78,65 +79,28 @@ def detect_encoding(content: Column) -> Column:
 
 def decode(content: Column) -> Column:
     """Text of a file, byte order mark removed."""
-    valid = F.is_valid_utf8(content.cast("string"))
-    # Spark itself decodes by this code page only under a legacy setting.
-    page = F.translate(F.decode(content, "ISO-8859-1"), LATIN, CYRILLIC)
-    text = F.when(valid, content.cast("string")).otherwise(page)
-    return F.regexp_replace(text, "^﻿", "")
+    text = decode_bytes(content, F.is_valid_utf8(content.cast("string")))
+    return F.regexp_replace(text, "^\ufeff", "")
 
 
 def detect_delimiter(text: Column) -> Column:
     """Most frequent delimiter of the whole text; comma if there is none."""
-    counted = [
-        F.struct(
-            (F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias("n"),
-            F.lit(-i).alias("rank"),
-            F.lit(d).alias("delimiter"),
-        )
-        for i, d in enumerate(DELIMITERS)
-    ]
-    best = F.array_max(F.array(*counted))
-    return F.when(best["n"] > 0, best["delimiter"]).otherwise(DELIMITERS[0])
-
-
-def split_cells(line: Column, delimiter: Column) -> Column:
-    """Cells of a delimited line; quoted cells may hold delimiters and doubled quotes."""
-    escaped = F.when(delimiter == "|", r"\|").otherwise(delimiter)
-    # Possessive, so that long cells neither backtrack nor recurse.
-    pattern = F.concat(escaped, F.lit('("[^"]*+(?:""[^"]*+)*+"|[^'), escaped, F.lit("]*+)"))
-    cells = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
-    return F.transform(
-        cells,
-        lambda c: F.when(
-            c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
+    return delimiter_of([F.length(text) - F.length(F.replace(text, F.lit(d), F.lit(""))) for d in DELIMITERS])
 
 
-def read_mixed(
-    listing: DataFrame,
-    delimiter: str | None = None,
-    skip_rows: int = 0,
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Rows of admitted text files as (file_id, row_id, cells); row ids count the lines that are not empty from 0 in each file.
+def mixed_records(listing: DataFrame, delimiter: str | None = None, skip_rows: int = 0, max_rows: int | None = None) -> Records:
+    """Records of the admitted text files of a listing; only their paths pass through the driver, as in any file scan."""
+    wanted = listing.filter(file_extension(F.col("path")).isin(list(TEXT_EXTENSIONS))).select("path")
+    return read_records(listing.sparkSession, [r.path for r in wanted.collect()], delimiter, skip_rows, max_rows)
+
 
-    ``skip_rows`` lines in front are left out, empty ones among them; ``max_rows`` rows are read after the first. Cells must not hold line breaks; read such files with ``read_delimited(multiline=True)``.
+def read_mixed(listing: DataFrame, delimiter: str | None = None, skip_rows: int = 0, max_rows: int | None = None) -> DataFrame:
+    """Rows of admitted text files as (file_id, row_id, cells); row ids count the records that are not empty from 0 in each file.
+
+    ``skip_rows`` lines in front are left out, empty ones among them; ``max_rows`` rows are read after the first. Files
+    that end inside a quoted cell give no rows: ``mixed_records`` names them.
     """
-    files = listing.filter(file_extension(F.col("path")).isin(list(TEXT_EXTENSIONS))).select(
-        F.col("path").alias("file_id"), decode(F.col("content")).alias("text")
-    )
-    sep = F.lit(delimiter) if delimiter else detect_delimiter(F.col("text"))
-    every = F.split("text", "\r\n|\n|\r")
-    taken = F.filter(every, lambda line, i: (i >= skip_rows) & (F.length(line) > 0))
-    lines = files.select("file_id", sep.alias("sep"), F.posexplode(taken).alias("row_id", "line"))
-    if max_rows is not None:
-        lines = lines.filter(F.col("row_id") <= max_rows)
-    return lines.select(
-        "file_id",
-        F.col("row_id").cast("bigint"),
-        split_cells(F.col("line"), F.col("sep")).alias("cells"),
-    )
+    return mixed_records(listing, delimiter, skip_rows, max_rows).rows
 
 
 def header_table(located: DataFrame) -> DataFrame:
@@ -149,7 +113,7 @@ def mapped_table(rows: DataFrame, located: DataFrame, matches: DataFrame, target
     """One wide table over all files: the cells under the matched headers, as text.
 
     ``located`` has the header row of each file, ``matches`` its (file_id, target, header). Rows with
-    more cells than the header row are left to ``overlong_rows``.
+    more cells than the header row are left to ``overlong_rows``. ``absent`` lists the targets without a column.
     """
     positions = (
         matches.join(header_table(located), ["file_id", "header"])
@@ -162,7 +126,8 @@ def mapped_table(rows: DataFrame, located: DataFrame, matches: DataFrame, target
     files = located.select("file_id", "header_row", F.size("cells").alias("width")).join(positions, "file_id")
     data = rows.join(files, "file_id").filter((F.col("row_id") > F.col("header_row")) & (F.size("cells") <= F.col("width")))
     cells = [F.get("cells", F.try_element_at("slot", F.lit(t))).alias(t) for t in targets]
-    return data.select("file_id", "row_id", *cells)
+    absent = F.array_except(F.array(*map(F.lit, targets)), F.map_keys("slot"))
+    return data.select("file_id", "row_id", *cells, absent.alias("absent"))
 
 
 def overlong_rows(rows: DataFrame, located: DataFrame) -> DataFrame:
@@ -221,9 +186,6 @@ def well_formed(df: DataFrame) -> DataFrame:
 
 
 def contiguous_ids(df: DataFrame, order: str = "row_id", name: str = "row_no") -> DataFrame:
-    """Number all rows from 0 without gaps, on request only: costs one extra count per partition."""
-    from pyspark.sql.types import LongType
-
-    schema = StructType([*df.schema.fields, StructField(name, LongType(), False)])
-    numbered = df.orderBy(order).rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return df.sparkSession.createDataFrame(numbered, schema)
+    """Number all rows from 0 without gaps by a whole-number column; each run of ids starts after the counts of those before."""
+    numbered = number_hot(df.withColumn("__all", F.lit(1)), ["__all"], [F.col(order)], [F.expr(f"`{order}` div {ID_RUN}")], name)
+    return numbered.withColumn(name, F.col(name) - 1).drop("__all")
