@@ -73,13 +73,15 @@ def parse_decimal_locale(c: Column, thousand: str, decimal: str, data_type: str
 
 
 def money(c: Column) -> Column:
-    """Amount with two places, half-even; text that is no number counts as zero."""
-    return F.coalesce(F.bround(c.try_cast("decimal(38,10)"), 2), F.lit(0)).cast(MONEY_TYPE)
+    """Amount with two places, half-even; text that is no number counts as zero, a number too large for MONEY_TYPE is null."""
+    size = F.abs(c.try_cast("double"))
+    beyond = (size >= 1e16) & (size < float("inf"))
+    return F.when(F.coalesce(beyond, F.lit(False)), F.lit(None)).otherwise(F.coalesce(F.bround(c.try_cast("decimal(38,10)"), 2), F.lit(0)).try_cast(MONEY_TYPE))
 
 
 def money_product(a: Column, b: Column) -> Column:
-    """Product of two exact amounts, rounded half-even to two places."""
-    return F.bround(a * b, 2).cast(MONEY_TYPE)
+    """Product of two exact amounts, rounded half-even to two places; null if it is too large."""
+    return F.bround(a * b, 2).try_cast(MONEY_TYPE)
 
 
 def infer_separators(df: DataFrame, columns: Sequence[str]) -> DataFrame:

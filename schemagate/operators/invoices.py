@@ -40,6 +40,7 @@ DECLARATION = "<?xml version='1.0' encoding='UTF-8'?>\n"
 
 ILLEGAL_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]"
 ILLEGAL_MESSAGE = "text holds characters that XML does not allow"
+RANGE_MESSAGE = "an amount is out of range"
 
 PARTY_FIELDS = ("name", "tax_id", "street", "city", "postal_code", "country")
 LINE_FIELDS = ("description", "quantity", "unit_price", "tax_percent", "line_net")
@@ -115,7 +116,8 @@ def lines_from_table(
 
 
 def _total(name: str) -> Column:
-    return F.sum(name).cast(MONEY_TYPE)
+    """Sum of all lines; null if it, or the amount of a line, is too large for MONEY_TYPE."""
+    return F.when(F.count(name) == F.count(F.lit(1)), F.sum(name).try_cast(MONEY_TYPE))
 
 
 def invoice_totals(lines: DataFrame, order: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -127,7 +129,7 @@ def invoice_totals(lines: DataFrame, order: Sequence[str], carry: Sequence[str]
         _total("line_tax").alias("tax"),
         *first,
     )
-    payable = (F.col("net") + F.col("tax")).cast(MONEY_TYPE).alias("payable")
+    payable = (F.col("net") + F.col("tax")).try_cast(MONEY_TYPE).alias("payable")
     return totals.select("invoice_id", "line_count", "net", "tax", payable, *([f"first.{c}" for c in carry]))
 
 
@@ -282,7 +284,7 @@ def nested_lines(
     totals = [_total("line_net").alias("net"), _total("line_tax").alias("tax")]
     first = [F.min_by(F.struct(*carry), F.struct(*order)).alias("first")] if carry else []
     carried = [F.col(f"first.{c}") for c in carry]
-    payable = (F.col("net") + F.col("tax")).cast(MONEY_TYPE).alias("payable")
+    payable = (F.col("net") + F.col("tax")).try_cast(MONEY_TYPE).alias("payable")
 
     usual = (
         # Gathering lines shrinks nothing, so they are shuffled as they are and gathered after.
@@ -385,6 +387,7 @@ def whole_documents(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 def registry(docs: DataFrame, unique_names: bool = False) -> DataFrame:
     """One row per invoice: path, currency, payable amount, checksum, status, error.
 
+    Invoices with characters that XML forbids, or with an amount out of range, fail alone.
     The checksum is the SHA-256 of the document, of however many parts.
     ``unique_names`` says that the ids cannot turn into one file name.
     """
@@ -395,7 +398,7 @@ def registry(docs: DataFrame, unique_names: bool = False) -> DataFrame:
         suffix = F.left(F.sha2(F.col("invoice_id").cast("string"), 256), F.lit(8))
         own = F.concat(F.regexp_replace("file_path", r"\.xml$", "_"), suffix, F.lit(".xml"))
         rows = rows.withColumn("file_path", F.when(F.col("shared"), own).otherwise(F.col("file_path")))
-    ok = ~F.col("illegal")
+    ok = ~F.col("illegal") & F.col("payable").isNotNull()
     return rows.select(
         F.col("invoice_id").cast("string").alias("invoice_id"),
         F.when(ok, F.col("file_path")).otherwise("").alias("file_path"),
@@ -403,7 +406,7 @@ def registry(docs: DataFrame, unique_names: bool = False) -> DataFrame:
         F.when(ok, F.col("payable")).otherwise(F.lit(0)).cast(MONEY_TYPE).alias("payable_amount"),
         F.when(ok, F.col("checksum")).otherwise("").alias("checksum"),
         F.when(ok, "ok").otherwise("error").alias("status"),
-        F.when(ok, "").otherwise(ILLEGAL_MESSAGE).alias("error"),
+        F.when(ok, "").when(F.col("illegal"), ILLEGAL_MESSAGE).otherwise(RANGE_MESSAGE).alias("error"),
     )
 
 

@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
@@ -95,12 +96,21 @@ def length_rules(name: str, shortest: int | None = None, longest: int | None = N
 
 
 def pattern_rule(name: str, pattern: str) -> Rule | None:
-    """Pattern anchored at the start only; a pattern that does not compile is no rule."""
+    """Pattern anchored at the start only; a pattern that does not compile is no rule.
+
+    Named groups are put as Spark's own expressions want them, and the pattern is compiled once here, so that one
+    that they refuse never reaches a running query.
+    """
     try:
         re.compile(pattern)
     except re.error:
         return None
-    return rule(~F.col(name).cast("string").rlike(f"(?U)^(?:{pattern})"), name, f"pattern_mismatch:{pattern}")
+    java = f"(?U)^(?:{re.sub(r'[(][?]P=([A-Za-z0-9]+)[)]', r'\\k<\1>', re.sub(r'[(][?]P<', '(?<', pattern))})"
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError:
+        return None
+    return rule(~F.col(name).cast("string").rlike(java), name, f"pattern_mismatch:{pattern}")
 
 
 def email_rule(name: str) -> Rule:

@@ -71,8 +71,8 @@ def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Valid
     Also returns the matches made for each file, and what was left out, as (file_id, row_id, reason): files not
     admitted, without a reader, without a matching header or ending inside a quoted cell (row_id is null), and rows with
     more cells than headers. Rows are keyed by ``row_key``: file and row number. A required column that a file does not
-    have is one error of the file, with row -1. Rows are written once to ``spark.checkpoint.dir``, where that is set,
-    and every step reads them from there; else each file is read again by each step.
+    have is one error of the file, with row -1. Files are read once: rows, headers, matches and cleaned cells are stored (see
+    :func:`schemagate.plans.durable.stored`), and every step reads them from there.
     """
     taken = files.admitted(listing, **limits)
     text = files.mixed_records(taken)
@@ -81,7 +81,8 @@ def process_files(listing: DataFrame, profile: Profile, **limits) -> tuple[Valid
     matches = stored(headers.match_files(files.header_table(located), profile), "folder-matches")
     table = files.mapped_table(rows, located, matches, profile.targets)
     keyed = table.withColumn("row_key", F.concat_ws("#", "file_id", F.col("row_id").cast("string")))
-    cells = clean_cells(keyed.drop("file_id", "row_id"), WORKBOOK_NULL_TOKENS)
+    # Stored, as the optimizer else copies the cleaning of every cell into each filter and rule.
+    cells = stored(clean_cells(keyed.drop("file_id", "row_id"), WORKBOOK_NULL_TOKENS), "folder-cells")
     named = taken.select(F.col("path").alias("file_id"))
     matched, unclosed = matches.select("file_id").distinct(), stored(text.unclosed, "folder-unclosed")
     unread = named.filter(F.lower("file_id").endswith(".xls")).withColumn("reason", F.lit("no_reader"))

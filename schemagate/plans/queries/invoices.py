@@ -65,6 +65,26 @@ def money_amounts(spark, sf):
     return raw.select("l_orderkey", *LINE, op.money(F.col("v")).alias("amount"))
 
 
+LARGE = "case mod(l_orderkey, 7) when 0 then '12345678901234567.00' when 1 then '1e40' else cast(l_quantity as decimal(18,3))::string end"
+
+
+@query(f"""select l_orderkey as invoice_id, count(*) as line_count, case when bool_or(large) then 0 else sum(net) end::decimal(18,2) as payable_amount,
+  case when bool_or(large) then 'error' else 'ok' end as status, case when bool_or(large) then '{op.RANGE_MESSAGE}' else '' end as error from
+  (select l_orderkey, mod(l_orderkey, 7) in (0, 1) and l_linenumber = 1 as large, l_quantity::decimal(18,2) as net from lineitem) group by l_orderkey""")
+def invoice_amount_range(spark, sf):
+    """An amount beyond 16 digits before the point makes its invoice fail, and no other."""
+    raw = load(spark, sf, "lineitem").withColumn("v", F.expr(f"case when l_linenumber = 1 then {LARGE} else cast(l_quantity as decimal(18,3))::string end"))
+    priced = raw.select(
+        F.col("l_orderkey").alias("invoice_id"), *LINE, F.lit("x").alias("description"), F.lit(1).cast("decimal(18,2)").alias("quantity"),
+        op.money(F.col("v")).alias("unit_price"), F.lit(0).cast("decimal(18,2)").alias("tax_percent"),
+    )
+    nested = op.nested_lines(op.line_amounts(priced), [*LINE, "unit_price"], CHUNK)
+    whole = op.documents(nested.withColumn("issue_date", F.lit("2025-01-10"))).select("invoice_id", "line_count")
+    registry = op.registry(op.documents(nested.withColumn("issue_date", F.lit("2025-01-10"))), unique_names=True)
+    found = registry.select(F.col("invoice_id").cast("bigint").alias("invoice_id"), "payable_amount", "status", "error")
+    return whole.join(found, "invoice_id").select("invoice_id", "line_count", "payable_amount", "status", "error")
+
+
 @query(TOTALS_SQL)
 def einvoice_totals(spark, sf):
     return op.invoice_totals(lines(spark, sf), ORDER, ["l_suppkey"])

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
@@ -15,6 +13,7 @@ from schemagate import __version__
 from schemagate.functions.text import mime_type
 from schemagate.operators.profiling import column_profile, completeness, duplicate_rows, numeric_profile, verdict
 from schemagate.profiles import OutputSpec
+from schemagate.sinks.documents import DocumentFiles
 
 # Defaults of the descriptive metadata.
 DEFAULT_LICENSE, DEFAULT_FREQUENCY = "Open Data License", "monthly"
@@ -168,29 +167,16 @@ def export_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def write_document_files(named: DataFrame, directory: str) -> int:
-    """One file per document (file_path, part_no, n_parts, document) in a directory all executors share.
+    """One file per document (file_path, part_no, n_parts, document) in a directory that all executors share.
 
     A document has one file, named the same way, of however many parts; its parts are written in order by one
-    task. Invoices without a path, those in error, are passed over. Returns the number of parts written.
-    A file is written under a passing name and then renamed, so a re-run task only repeats itself.
+    task. Invoices without a path, those in error, are passed over. Returns the number of parts written. Files appear
+    when the whole write is done, or not at all: see :mod:`schemagate.sinks.documents`.
     """
-    def write(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            for name, part_no, n_parts, document in zip(batch["file_path"], batch["part_no"], batch["n_parts"], batch["document"]):
-                final = os.path.join(directory, name)
-                if part_no == 0:
-                    passing = f"{final}.{uuid.uuid4().hex}.tmp"
-                with open(passing, "w" if part_no == 0 else "a", encoding="utf-8", newline="") as f:
-                    f.write(document)
-                if part_no == n_parts - 1:
-                    os.replace(passing, final)
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    os.makedirs(directory, exist_ok=True)
+    spark, counted = named.sparkSession, Observation()
+    spark.dataSource.register(DocumentFiles)
     files = named.filter(F.col("file_path") != "").select("file_path", "part_no", "n_parts", "document")
     several = files.filter(F.col("n_parts") > 1).repartition("file_path").sortWithinPartitions("file_path", "part_no")
-    files = files.filter(F.col("n_parts") == 1).unionByName(several)
-    written = files.mapInPandas(write, "n bigint")
-    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = files.filter(F.col("n_parts") == 1).unionByName(several).observe(counted, F.count(F.lit(1)).alias("parts"))
+    files.select("file_path", F.col("part_no").cast("bigint"), F.col("n_parts").cast("bigint"), "document").write.format("document_files").mode("append").save(directory)
+    return counted.get["parts"]

@@ -108,17 +108,15 @@ def file_formats(lines: DataFrame, delimiter: str | None = None) -> DataFrame:
 
 
 def _pieces(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Lines as text, cut at lone carriage returns too, with the break that followed each."""
-    joined = lines.join(formats, "file_id")
+    """Lines as text without byte order mark, cut at lone carriage returns too, with the break that followed each."""
     text = decode_bytes(F.col("value").cast("binary"), F.col("utf8"))
-    text = F.when(F.col("chunk") == 0, F.regexp_replace(text, "^﻿", "")).otherwise(text)
-    joined = joined.select("file_id", "chunk", "line_id", "quoted", "sep", text.alias("text"))
-    returned = F.endswith("text", F.lit("\r"))
-    body = F.when(returned, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
-    cut = joined.select("file_id", "chunk", "line_id", "quoted", "sep", returned.alias("returned"), F.split(body, "\r", -1).alias("parts"))
-    cut = cut.select("*", F.posexplode("parts").alias("piece", "line"))
-    end = F.when(F.col("piece") < F.size("parts") - 1, "\r").when(F.col("returned"), "\r\n").otherwise("\n")
-    return cut.select("file_id", "chunk", "line_id", "piece", "quoted", "sep", "line", end.alias("end"))
+    cut = lines.join(formats, "file_id").select(
+        "file_id", "chunk", "line_id", "quoted", "sep", F.posexplode(F.split(F.regexp_replace(text, "^\ufeff", ""), "\r(?!\\z)", -1)).alias("piece", "part")
+    )
+    # a carriage return is left at the end of the last piece of a line only, before the line feed
+    last = F.lead("piece").over(Window.partitionBy("file_id", "chunk").orderBy("line_id", "piece"))
+    end = F.when(F.endswith("part", F.lit("\r")), "\r\n").when(last > F.col("piece"), "\r").otherwise("\n")
+    return cut.select("file_id", "chunk", "line_id", "piece", "quoted", "sep", F.regexp_replace("part", "\r\\z", "").alias("line"), end.alias("end"))
 
 
 def _after_first(pieces: DataFrame, skip_rows: int) -> DataFrame:

@@ -14,7 +14,6 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from typing import BinaryIO
-from urllib.parse import quote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -23,12 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from schemagate.functions.text import file_extension
+from schemagate.sources.stores import ARROW_STORES, open_path, store_name
 
 CELLS = "file_id string, sheet string, sheet_no int, row_id bigint, position int, value string"
 SHEETS = "file_id string, sheet_no int, sheet string"
 BATCH_CELLS = 20_000
-#: Stores that Arrow opens on executors.
-ARROW_STORES = ("file", "s3", "s3a", "gs", "hdfs", "abfs", "abfss")
 _SCHEMA = pa.schema([("file_id", pa.string()), ("sheet", pa.string()), ("sheet_no", pa.int32()), ("row_id", pa.int64()), ("position", pa.int32()), ("value", pa.string())])
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -36,20 +34,6 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47])
 
 
-def _store(path: str) -> str:
-    return path.split(":", 1)[0] if re.match(r"\w+:", path) else "file"
-
-
-def open_path(path: str) -> BinaryIO:
-    """A file of a store that Arrow knows, for random access."""
-    from pyarrow import fs
-
-    if _store(path) == "file":
-        return fs.LocalFileSystem().open_input_file("/" + path.split(":", 1)[-1].lstrip("/"))
-    store, inside = fs.FileSystem.from_uri(quote(path.replace("s3a:", "s3:", 1), safe=":/@"))
-    return store.open_input_file(inside)
-
-
 def _column_index(reference: str) -> int:
     index = 0
     for letter in re.match("[A-Z]+", reference).group():
@@ -216,8 +200,8 @@ def sheet_names(listing: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(found, pa.schema([("file_id", pa.string()), ("sheet_no", pa.int32()), ("sheet", pa.string())]))
 
     books, own = _books(listing), F.regexp_extract("path", r"^(\w+):", 1).isin(["", *ARROW_STORES])
-    by_path, by_content = books.filter(own).select("path"), books.filter(~own).select("path", "content")
-    return by_path.mapInArrow(names, SHEETS).unionByName(by_content.mapInArrow(names, SHEETS))
+    by_path = books.filter(own).select("path").mapInArrow(names, SHEETS)
+    return by_path.unionByName(books.filter(~own).select("path", "content").mapInArrow(names, SHEETS)) if "content" in books.columns else by_path
 
 
 def workbook_cells(listing: DataFrame, sheet: str | int | None = None) -> DataFrame:
@@ -230,10 +214,10 @@ def workbook_cells(listing: DataFrame, sheet: str | int | None = None) -> DataFr
     if sheet is not None:
         sheets = sheets.filter(F.col("sheet_no") == sheet if isinstance(sheet, int) else F.col("sheet") == sheet)
     found = [(r.file_id, r.sheet_no, r.sheet) for r in sheets.collect()]  # a row per sheet: what the partitions are made of
-    direct = [s for s in found if _store(s[0]) in ARROW_STORES]
+    direct = [s for s in found if store_name(s[0]) in ARROW_STORES]
     spark.dataSource.register(WorkbookSource)
     cells = spark.read.format("workbook_cells").option("sheets", json.dumps(direct)).load() if direct else spark.createDataFrame([], CELLS)
-    through = [s for s in found if _store(s[0]) not in ARROW_STORES]
+    through = [s for s in found if store_name(s[0]) not in ARROW_STORES]
     if not through:
         return cells
 
