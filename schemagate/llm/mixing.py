@@ -95,19 +95,22 @@ def mix_plan(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling:
 def mix_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
     """The mix itself, with the columns of `documents`: a row per copy of a document, the one at the cut shortened.
 
-    The shortened copy is its first words joined by single spaces; its n_chars is counted anew.
+    The shortened copy is its first words joined by single spaces; its n_chars, where there is one, is counted anew.
+    All other columns are passed on as they are, whatever they are called.
     """
     sized = keep(_sized(documents.select("doc_id", "text", "source")), "mix-sized")
-    cuts = source_cuts(sized, weights, ceiling).select(F.col("source").alias("_source"), "epochs", "cut_key", "cut_size", "cut_words")
-    rows = documents.withColumns({"_size": _size(F.col("text")), "_key": _key(F.col("doc_id"))})
-    rows = rows.join(cuts, rows["source"].eqNullSafe(cuts["_source"]))
-    rows = rows.withColumn("_part", _part(F.col("_key"), F.col("_size")))
-    whole = F.col("epochs") + (F.col("_part") == F.col("_size")).cast("long")
-    whole = F.when(F.col("_size") > 0, whole).otherwise(0)
-    cut = F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")), F.col("_part")).otherwise(0)
+    cuts = source_cuts(sized, weights, ceiling).withColumnRenamed("source", "of")
+    # the document's own columns stay in a struct, whatever they are called
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc"), _size(F.col("text")).alias("size"), _key(F.col("doc_id")).alias("key"))
+    rows = rows.join(cuts.select("of", "epochs", "cut_key", "cut_size", "cut_words"), rows["doc"]["source"].eqNullSafe(F.col("of")))
+    rows = rows.withColumn("part", _part(F.col("key"), F.col("size")))
+    whole = F.col("epochs") + (F.col("part") == F.col("size")).cast("long")
+    whole = F.when(F.col("size") > 0, whole).otherwise(0)
+    cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.col("part")).otherwise(0)
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_words", F.explode(copies))
-    kept = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")))
-    text = F.when(F.col("_words") > 0, kept).otherwise(F.col("text"))
-    n_chars = F.when(F.col("_words") > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
-    return rows.select(*(text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in documents.columns))
+    rows = rows.select("doc", F.explode(copies).alias("words"))
+    kept = F.concat_ws(" ", F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), 1), F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")))
+    own = {"text": F.when(F.col("words") > 0, kept).otherwise(F.col("doc.text"))}
+    if "n_chars" in documents.columns:
+        own["n_chars"] = F.when(F.col("words") > 0, F.char_length(kept).cast("long")).otherwise(F.col("doc.n_chars"))
+    return rows.select(*(own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in documents.columns))

@@ -165,5 +165,8 @@ def classify(documents: DataFrame, labels: DataFrame, *, threshold: float = THRE
 
 
 def accepted(documents: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, whose score reaches the threshold."""
-    return score(documents, train(documents, labels), "_score").where(F.col("_score") >= threshold).drop("_score")
+    """The documents, all columns whatever they are called, whose score reaches the threshold; repeated rows are judged each."""
+    name = "score"
+    while name in documents.columns:
+        name += "_"
+    return score(documents, train(documents, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -6,7 +6,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from schemagate.llm import centroids, kdshards, merkle, queries
+from pyspark.sql import functions as F
+from schemagate.llm import centroids, kdshards, merkle, mixing, quality, queries
 
 VECTORS = "vec_id long, embedding array<float>, label int, cluster int, x string, dots string"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, v string, copy int, tree string, i int, shard int"
@@ -176,3 +177,16 @@ def test_shards_of_sample_tables(spark, sf_dir):
     got = queries.QUERIES["op12_kd_shards"](spark, sf_dir)
     assert {(r.law, r.grown_shard) for r in got.collect()} == {("bytes", None)}
     check_shards([(r.doc_id, r.text) for r in docs], got.collect(), 16, 2 * max(len((r.text or "").encode()) for r in docs))
+
+
+def test_stages_pass_on_columns_of_any_name(spark):
+    """Columns named like those that the mixing and quality stages work with come out as they went in."""
+    names = ["_size", "_key", "size", "key", "part", "words", "epochs", "cut_key", "cut_size", "cut_words", "of", "doc", "target", "score", "_score", "score_"]
+    rows = [(i, f"some words of document {i} " * (i % 5 + 1), ["a", "b", None][i % 3], *[f"{n}{i}" for n in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert all(r[n] == f"{n}{r.doc_id}" for r in mixed.collect() for n in names)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    kept = quality.accepted(docs.withColumn("n_chars", F.length("text").cast("long")), labels, threshold=0.0)
+    assert kept.columns == [*docs.columns, "n_chars"] and kept.count() == 30 and all(r[n] == f"{n}{r.doc_id}" for r in kept.collect() for n in names)
