@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from schemagate.operators import normalize
 from schemagate.plans.queries.base import load, query
 from schemagate.sources import files as op
 from schemagate.sources.records import split_records
@@ -57,6 +58,34 @@ def delimited_rows(spark, sf):
     )
 
 
+LETTERS, PAGE = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ"
+
+
+@query(f"""select doc_id, md5(case when mod(doc_id, 3) = 1 then translate(t, '{LETTERS}', '{PAGE}') else text end) as decoded
+  from (select doc_id, text, 'x' || regexp_replace(text, '[^ -~]', '', 'g') as t from documents)""")
+def decode_texts(spark, sf):
+    """Bytes of a code page become Cyrillic text; UTF-8, with a byte order mark or without, stays as it is."""
+    plain = F.concat(F.lit("x"), F.regexp_replace("text", "[^ -~]", ""))
+    paged = F.encode(F.translate(plain, LETTERS, "".join(chr(b) for b in PAGE.encode("cp1251"))), "ISO-8859-1")
+    utf8 = F.encode(F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("\ufeff"), "text")).otherwise(F.col("text")), "UTF-8")
+    content = F.when(F.col("doc_id") % 3 == 1, paged).otherwise(utf8)
+    return load(spark, sf, "documents").select("doc_id", F.md5(op.decode(content)).alias("decoded"))
+
+
+@query("""select c_name, c_custkey as "Column_1", c_mktsegment as "Column_2" from customer""")
+def cleanup_names(spark, sf):
+    """Names are stripped, columns without one are numbered."""
+    raw = load(spark, sf, "customer").select(F.col("c_name").alias(" c_name "), F.col("c_custkey").alias(" "), F.col("c_mktsegment").alias("Unnamed: 7"))
+    return normalize.name_unnamed(raw)
+
+
+@query("select o_orderkey as row_id, cast(o_custkey as varchar) as customer, o_orderpriority as priority from orders where o_orderkey > 100")
+def reheader_rows(spark, sf):
+    """Rows below the header row, under its names."""
+    raw = load(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("c0"), F.col("o_orderpriority").alias("c1"))
+    return normalize.reheader(raw, "row_id", 100, ["customer", "priority"])
+
+
 MIXED = "replace(replace(text, '\"', ''), chr(13), '')"
 
 

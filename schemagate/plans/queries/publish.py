@@ -88,3 +88,13 @@ def export_metadata(spark, sf):
         "quality.null_cells", "quality.duplicate_rows", F.size("data.column_profile").cast("bigint").alias("profiled_columns"),
         highest.alias("highest_total"), "validation_status", "quality_score",
     )
+
+
+@query(f"""select 'pkg-' || source as package_id, lang || ' Data' as name, lang || ' Data generated by {op.GENERATOR}' as description, 'CSV' as format,
+  'text/csv' as mimetype, n_chars as size, '2025-01-01 00:00:00' as last_modified from documents""")
+def resource_records(spark, sf):
+    listed = load(spark, sf, "documents").select(
+        F.concat(F.lit("pkg-"), "source").alias("package_id"), F.concat("lang", F.lit(" Data")).alias("name"), F.lit("csv").alias("format"),
+        F.lit("text/csv").alias("mime_type"), F.col("n_chars").alias("size_bytes"), F.expr("timestamp_ntz '2025-01-01 00:00:00'").alias("modified_at"),
+    )
+    return op.resource_record(listed).select("record.*")
