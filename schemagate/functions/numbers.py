@@ -74,9 +74,9 @@ def parse_decimal_locale(c: Column, thousand: str, decimal: str, data_type: str
 
 def money(c: Column) -> Column:
     """Amount with two places, half-even; text that is no number counts as zero, a number too large for MONEY_TYPE is null."""
-    size = F.abs(c.try_cast("double"))
-    beyond = (size >= 1e16) & (size < float("inf"))
-    return F.when(F.coalesce(beyond, F.lit(False)), F.lit(None)).otherwise(F.coalesce(F.bround(c.try_cast("decimal(38,10)"), 2), F.lit(0)).try_cast(MONEY_TYPE))
+    exact, size = c.try_cast("decimal(38,10)"), F.abs(c.try_cast("double"))
+    beyond = F.coalesce((size >= 1e16) & (size < float("inf")), F.lit(False))
+    return F.when(exact.isNotNull(), F.bround(exact, 2).try_cast(MONEY_TYPE)).when(~beyond, F.lit(0).cast(MONEY_TYPE))
 
 
 def money_product(a: Column, b: Column) -> Column:

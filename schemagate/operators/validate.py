@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
@@ -108,7 +108,7 @@ def pattern_rule(name: str, pattern: str) -> Rule | None:
     java = f"(?U)^(?:{re.sub(r'[(][?]P=([A-Za-z0-9]+)[)]', r'\\k<\1>', re.sub(r'[(][?]P<', '(?<', pattern))})"
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(java)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return None
     return rule(~F.col(name).cast("string").rlike(java), name, f"pattern_mismatch:{pattern}")
 

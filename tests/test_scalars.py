@@ -91,3 +91,10 @@ def test_separators(spark, values, want):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     r = numbers.infer_separators(df, ["v"]).first()
     assert (r.thousand_sep, r.decimal_sep) == want
+
+
+def test_amounts_out_of_range(spark):
+    """A number that the money type cannot hold is null, text that is no number is zero."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(["12345678901234567.00", "-1e40", "9999999999999999.99", "nan", "n/a", None, "1.005"])], "i int, v string")
+    got = [r.m for r in df.select("i", numbers.money(df.v).alias("m")).orderBy("i").collect()]
+    assert [None if m is None else str(m) for m in got] == [None, None, "9999999999999999.99", "0.00", "0.00", "0.00", "1.00"]

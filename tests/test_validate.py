@@ -79,3 +79,11 @@ def test_bulgarian_status_excludes_row(spark):
 def test_unicode_classes(spark):
     cases = [("Иван", r"(?U)^(?:\w+$)"), ("+359\u00a02\u00a0123\u00a0456", validate.PHONE_FORMAT), ("https://пример.бг/път", validate.URL_FORMAT)]
     assert spark.range(1).select(*(F.lit(text).rlike(pattern) for text, pattern in cases)).first() == (True, True, True)
+
+
+def test_patterns_of_either_notation(spark):
+    """Named groups work as they are written; a pattern that only one of the two engines takes is no rule."""
+    df = spark.createDataFrame([("ab",), ("aa",)], "v string")
+    broken = lambda p: [r[0] for r in df.select(validate.pattern_rule("v", p).broken).collect()]
+    assert broken(r"(?P<a>\w)(?P=a)") == [True, False] and broken("(?P<x>a)b") == [False, True]
+    assert validate.pattern_rule("v", "(?(1)a|b)(x)") is None and validate.pattern_rule("v", "(") is None
