@@ -10,6 +10,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +60,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to a number of rows, which bounds what a task holds."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to a number of rows and, where a text alone is not longer, bytes of text: what a task holds at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        ends = sum((np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in texts), np.zeros(batch.num_rows, np.int64))
+        at = 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            to = max(at + 1, min(at + rows, fit))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:

@@ -6,9 +6,11 @@ Registers are mergeable (element-wise maximum) and agree with probability close
 bands of registers propose pairs; the joint likelihood of (greater, less, equal) registers and the two known set
 sizes drops pairs that are out of the question; what is left is settled on the full sets.
 
-Buckets are worked off in two rounds so that no group emits all its pairs: first every member against the
-smallest of its bucket; then, in buckets that still span several components, members of different components, in
-blocks of bounded size. A pair inside one component needs no test, as only components are asked for.
+Buckets of two or more are kept once and worked off in two rounds, so that no group emits all its pairs: first every
+member against the smallest of its bucket; then, in buckets that still span several components, members of different
+components, in blocks of bounded size that are streamed one after the other. The blocks are gone through twice: on
+registers alone, to name the members that could have a partner, and for these on full texts. A pair inside one
+component needs no test, as only components are asked for.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,28 +130,31 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketched(documents: DataFrame, width: int) -> DataFrame:
+    """A row, with a number of its own, per row of (doc_id, tie, text); tie is a hash of the text."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in slices(batches, 1000):
-            sets = [shingle_set(words_of(t), width) for t in batch["text"].to_pylist()]
+            sets = [shingle_set(words_of(t.as_py()), width) for t in batch["text"]]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [pa.array(np.arange(row, row + len(sets))), batch["doc_id"], batch["tie"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())],
+                ["row", "doc_id", "tie", "n_shingles", "digest", "sketch"],
             )
+            row += len(sets)
 
-    return documents.select("doc_id", "text").mapInArrow(sketch, "doc_id bigint, n_shingles bigint, digest binary, sketch binary")
+    return documents.mapInArrow(sketch, "row bigint, doc_id bigint, tie bigint, n_shingles bigint, digest binary, sketch binary")
 
 
 def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs, tested on the full sets. Texts are shuffled once for the one side and once for pairs."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs, tested on the full sets of `texts` (node, text)."""
     pairs = keep(pairs, "dup-pairs")
-    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "dup-wanted")
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dup-wanted")
+    texts = texts.join(wanted, "node", "left_semi")
+    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -167,29 +173,79 @@ def _confirmed(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
     return keep(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(settle, "a bigint, b bigint"), "dup-links")
 
 
+#: One meeting of two blocks (or of one with itself): its key, and what is held of each member.
+MEETING = ["bucket", "i", "j"]
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of one meeting after the other, from batches sorted by meeting."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch[k].to_numpy() for k in MEETING])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if low < high:
+                if held and tuple(key[:, low]) != last:
+                    yield pa.concat_batches(held)
+                    held = []
+                last = tuple(key[:, low])
+                held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _candidates(members: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a meeting whose labels differ, which no other band brings first, and whose registers allow the similarity."""
+    i, j, band = members["i"][0].as_py(), members["j"][0].as_py(), members["bucket"][0].as_py() & 63
+    node, label, n, block, centre = (members[k].to_numpy() for k in ("node", "label", "n_shingles", "block", "centre"))
+    registers = _registers(members["sketch"])
+    x, y = np.nonzero((block == i)[:, None] & (block == j) & (label[:, None] != label) & (node != centre)[:, None] & (node != centre))
+    once = (node[x] < node[y]) | (i != j)
+    x, y = x[once], y[once]
+    bands, kept = registers.view([("", "<u2")] * ROWS).reshape(len(node), -1), [np.zeros((2, 0), np.int64)]
+    for at in range(0, len(x), PAIRS):
+        a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+        first = np.argmax(bands[a] == bands[b], axis=1) == band
+        a, b = a[first], b[first]
+        if len(a):
+            good = possible(registers[a], registers[b], n[a], n[b], percent)
+            kept.append(np.stack([a[good], b[good]]))
+    x, y = np.concatenate(kept, axis=1)
+    return x, y
+
+
 def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of (doc_id, text); doc_ids are taken to be unique.
+    """doc_id, n_shingles, component_id, kept of every row of (doc_id, text).
 
     Links join documents of similarity of at least `percent`; component_id is the smallest doc_id reachable. Null,
     empty and blank texts have no shingles and link with nothing. Texts of fewer than `width` words are one shingle.
-    Copies are one class from the start and never paired. Rows of one doc_id count as copies of their smallest
-    set. A null doc_id is its own component (null, not kept). Other columns are not read.
+    Copies are one class from the start and never paired. Rows that share a doc_id are one document, linked by each
+    of their texts: they have one component_id between them, but each its own n_shingles; a row without shingles has
+    its doc_id. A null doc_id is its own component (null, not kept). Other columns are not read.
     """
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     done = keep(_sketched(docs, width), "dup-sketches")
     known = done.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = keep(classes, "dup-classes")
-    reps = known.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
-    reps = keep(reps.dropDuplicates(["rep"]), "dup-reps")
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    bands = reps.select("rep", F.explode(band).alias("bucket"))
+    # a class of equal sets is a node, numbered by one of its rows
+    classes = keep(known.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "dup-classes")
+    reps = known.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "tie", "n_shingles", "sketch")
+    reps = keep(reps, "dup-reps")
+    texts = docs.join(reps.select("node", "doc_id", "tie"), ["doc_id", "tie"]).select("node", "text")
+    repeated = keep(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "dup-repeated")
+    some_repeat = not repeated.isEmpty()
+    if some_repeat:  # a row that stands there twice is one text
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    # the number of the band is in the lowest bits of the bucket
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.col("sketch").substr(k * (2 * ROWS) + 1, F.lit(2 * ROWS))).bitwiseAND(F.lit(~63)).bitwiseOR(k.cast("bigint")))
+    bands = reps.select("node", F.explode(band).alias("bucket"))
+    size = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = keep(bands.join(size, "bucket").select("bucket", "node", "centre", "n"), "dup-members")
 
     # round one: each member against the smallest of its bucket
-    first = bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    stars = bands.join(first, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    one = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
+    stars = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    one = reps.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
+    two = reps.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 5000):
@@ -197,61 +253,53 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     fitting = stars.join(two, "b").join(one, "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    links = _confirmed(fitting.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(weigh, "a bigint, b bigint"), docs, width, percent)
+    links = _confirmed(fitting.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(weigh, "a bigint, b bigint"), texts, width, percent)
+    if some_repeat:
+        own = known.join(repeated, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "node").distinct()
+        same = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("node != a").select("a", F.col("node").alias("b"))
+        links = keep(links.unionAll(same), "dup-links")
     part = keep(components(links), "dup-part")
 
-    # round two: members of one bucket and different components, block against block, on their full texts
-    labelled = reps.join(part, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("label"), "n_shingles", "sketch")
-    labelled = keep(labelled, "dup-labelled")
-    bands = labelled.select("rep", "label", "n_shingles", F.posexplode(band).alias("band", "bucket"))
-    mixed = bands.groupBy("band", "bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words")
-    ).where("low != high and n > 2")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int")
-    mixed = mixed.select("band", "bucket", "centre", blocks.alias("blocks"))
-    member = bands.join(mixed, ["band", "bucket"]).select("band", "bucket", "centre", "rep", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    # texts meet documents once, not once for each bucket: at most one place a band is gathered by document
-    places = member.groupBy("rep").agg(F.collect_list(F.struct("band", "bucket", "centre", "blocks", "block")).alias("places"))
-    places = keep(places, "dup-members")
-    mates = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: F.struct(
-        p["band"].alias("band"), p["bucket"].alias("bucket"), p["centre"].alias("centre"), p["block"].alias("block"),
-        F.struct(F.least(p["block"], k).alias("i"), F.greatest(p["block"], k).alias("j")).alias("mates"),
-    ))))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(places.select("rep"), "rep", "left_semi")
-    member = places.join(labelled, "rep").join(texts, "rep").select("rep", "label", "n_shingles", "sketch", "text", F.explode(mates).alias("place"))
-    member = member.select("place.*", "rep", "label", "n_shingles", "sketch", "text")
-    groups = member.groupBy("band", "bucket", "centre", "mates").agg(F.collect_list(F.struct("rep", "label", "n_shingles", "block", "sketch", "text")).alias("members"))
+    # round two: members of one bucket and different components, block against block
+    labels = reps.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n_shingles")
+    labelled = keep(members.where("n > 2").join(labels, "node"), "dup-labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words")).where("low != high")
+    mixed = mixed.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    place = labelled.drop("n").join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # blocks meet on registers alone first; then members that could have a partner meet on their texts
+    place = place.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n_shingles", "centre", "block"
+    )
+    sketch = reps.select("node", "sketch")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*MEETING).sortWithinPartitions(*MEETING)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members_ in _meetings(batches):
+            some = np.unique(np.concatenate(_candidates(members_, percent)))
+            if len(some):
+                yield members_.select([*MEETING, "node", "label", "n_shingles", "centre", "block"]).take(pa.array(some))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for band_, centre, mates_, members in zip(batch["band"].to_pylist(), batch["centre"].to_pylist(), batch["mates"].to_pylist(), batch["members"], strict=True):
-                rows = members.values
-                rep, label, n, block = (rows.field(k).to_numpy() for k in range(4))
-                registers = _registers(rows.field(4))
-                x, y = np.nonzero((block == mates_["i"])[:, None] & (block == mates_["j"]) & (label[:, None] != label) & (rep[:, None] != centre) & (rep != centre))
-                once = (rep[x] < rep[y]) | (mates_["i"] != mates_["j"])
-                x, y = x[once], y[once]
-                held, kept_x, kept_y = registers.view([("", "<u2")] * ROWS).reshape(len(rep), -1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for at in range(0, len(x), PAIRS):
-                    i, j = x[at : at + PAIRS], y[at : at + PAIRS]
-                    first_ = np.argmax(held[i] == held[j], axis=1) == band_  # each pair once, in the first band they share
-                    i, j = i[first_], j[first_]
-                    good = possible(registers[i], registers[j], n[i], n[j], percent) if len(i) else np.zeros(0, bool)
-                    kept_x.append(i[good])
-                    kept_y.append(j[good])
-                x, y = np.concatenate(kept_x), np.concatenate(kept_y)
-                if len(x):
-                    some = np.unique(np.concatenate([x, y]))
-                    texts_ = rows.field(5)
-                    shared = shared_counts([shingle_set(words_of(texts_[int(k)].as_py()), width) for k in some])
-                    common = shared[np.searchsorted(some, x), np.searchsorted(some, y)]
-                    linked = 100 * common >= percent * (n[x] + n[y] - common)
-                    root = rep[roots(len(rep), x[linked], y[linked])]
-                    yield pa.RecordBatch.from_arrays([pa.array(root[root != rep]), pa.array(rep[root != rep])], ["a", "b"])
-
-    more = groups.mapInArrow(cross, "a bigint, b bigint").distinct()
+        for members_ in _meetings(batches):
+            x, y = _candidates(members_, percent)
+            node, n = members_["node"].to_numpy(), members_["n_shingles"].to_numpy()
+            shared = shared_counts([shingle_set(words_of(t.as_py()), width) for t in members_["text"]])
+            common = shared[x, y]
+            linked = 100 * common >= percent * (n[x] + n[y] - common)
+            root = node[roots(len(node), x[linked], y[linked])]
+            yield pa.RecordBatch.from_arrays([pa.array(root[root != node]), pa.array(node[root != node])], ["a", "b"])
+
+    columns = "bucket bigint, i int, j int, node bigint, label bigint, n_shingles bigint, centre bigint, block int"
+    likely = keep(meet(place.join(sketch, "node")).mapInArrow(narrow, columns), "dup-likely")
+    wanted = texts.join(likely.select("node").distinct(), "node", "left_semi")
+    more = meet(likely.join(sketch, "node").join(wanted, "node")).mapInArrow(cross, "a bigint, b bigint").distinct()
     part = keep(components(links.unionAll(more)), "dup-part")
 
-    named = done.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(part, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    whole = keep(classes.join(part, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component")), "dup-whole")
+    least = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = whole.join(least, "component").select("digest", "component_id")
+    out = done.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(named, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

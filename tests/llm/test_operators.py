@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from schemagate.llm import brown, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
+from schemagate.llm.common import slices
 from schemagate.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, label int, component string, _size int"
@@ -171,6 +173,39 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.near_duplicates(empty, width=4).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = ([f"{k}{i}" for i in range(60)] for k in "abc")
+    rows = [(4, a), (4, b), (5, [*a, "x"]), (6, [*b, "y"]), (2, [*a, "z"]), (9, c), (9, c), (9, c), (8, [*c, "x"]), (4, []), (7, [])]
+    rows = [(i, " ".join(words)) for i, words in rows] + [(None, " ".join(a)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, width=4).collect()), key=str)
+    want = [(4, 57, 2, False)] * 2 + [(5, 58, 2, False), (6, 58, 2, False), (2, 58, 2, True)] + [(9, 57, 8, False)] * 3 + [(8, 58, 8, True)]
+    assert got == sorted([*want, (4, 0, 4, True), (7, 0, 7, True), (None, 57, None, False), (None, 0, None, False)], key=str)
+
+
+def test_blocks_that_meet(spark, monkeypatch):
+    """Chains of near copies in many small blocks, against all pairs."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    texts = []
+    for _ in range(3):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 80)]
+        for _ in range(60):
+            words = list(words)
+            words[rng.integers(80)] = f"n{rng.integers(10**6)}"
+            texts.append(" ".join(words))
+    texts = [texts[k] for k in rng.permutation(len(texts))]
+    _, part = brute_components(texts, 4, 80)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.component_id for r in neardup.near_duplicates(df, width=4).orderBy("doc_id").collect()] == part
+
+
+def test_slices_bound_rows_and_bytes():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 50, "", "c" * 3, "d" * 4], "n": range(6)})
+    cut = [b["n"].to_pylist() for b in slices([batch, batch.slice(0, 0)], 2, 12)]
+    assert cut == [[0, 1], [2], [3, 4], [5]]
+
+
 def test_near_copies_without_a_common_centre(spark):
     rng = np.random.default_rng(5)
     texts = []
