@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,9 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # of words alone
-        added = sorted((re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()), reverse=True)
+        added = sorted((re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()), reverse=True)
         self.added = re.compile("|".join(added) or "(?!)")
         self.line = self._ids("\n")
         opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -76,6 +77,13 @@ class Encoder:
         self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
         self.tails: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer of texts that hold added tokens; few tasks need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
