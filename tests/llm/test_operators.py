@@ -307,16 +307,59 @@ def test_class_model(spark, docs, empty):
     assert brown.score_texts(empty).count() == 0
 
 
+def learnt(documents):
+    """Ids of documents that are all learnt from, the words of the lexicon, and all words' counts."""
+    counts = brown.word_counts(documents).where("word != X''")
+    words, n = brown.frequent(counts, brown.LEXICON)
+    return brown.to_ids(documents.select("doc_id", F.lit(True).alias("learnt"), "text"), words), words, n
+
+
 def test_exchange_raises_the_likelihood(spark, sf_dir):
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = brown.word_counts(documents)
-    score = lambda m: sum((b := brown.class_counts(documents, m.lexicon, False)[0])[b > 0] * np.log(m.transition[b > 0])) - emission(m)
+    ids, words, n = learnt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    ids.persist()
+
+    def score(rounds):
+        lexicon, _ = brown.train(ids, words, n, rounds)
+        bigrams = brown.class_counts(ids, lexicon)[0]
+        k, c = n[: lexicon.clustered], lexicon.class_of
+        return (bigrams[bigrams > 0] * np.log(brown.transitions(bigrams)[bigrams > 0])).sum() - (k * np.log(np.bincount(c, k, brown.CLASSES)[c])).sum()
 
-    def emission(m):
-        n, c = m.lexicon.counts[: len(m.lexicon.class_of)], m.lexicon.class_of
-        return (n * np.log(np.bincount(c, n, brown.CLASSES)[c])).sum()
+    assert score(2) > score(0)
+    ids.unpersist()
 
-    assert score(brown.train(documents, counts, 2)) > score(brown.train(documents, counts, 0))
+
+def test_class_model_scores_by_definition(spark, docs, monkeypatch):
+    """Scores from the classes alone; small lexicon, so that words in rounds, other lexicon words and rare ones occur."""
+    monkeypatch.setattr(brown, "CLUSTERED", 20)
+    monkeypatch.setattr(brown, "LEXICON", 600)
+    kept = {}
+    monkeypatch.setattr(brown, "keep", lambda df, name: kept.setdefault(name, spark.createDataFrame(df.toArrow().to_pylist(), df.schema)))
+    got = by_id(brown.score_texts(docs))
+    vocabulary = {bytes(r["word"]): (r["n"], r["class"]) for r in kept["lm-words"].collect()}
+    assert {bytes(r["word"]) for r in kept["lm-others"].collect()} <= {w for w, (n, c) in vocabulary.items() if n >= brown.FEWEST and c < brown.CLASSES}
+    assert sum(c < brown.CLASSES for _, c in vocabulary.values()) == sum(n >= brown.FEWEST for n, _ in vocabulary.values())
+    text = {i: (t or "").encode().lower().split() for i, t in enumerate(TEXTS)}
+    cls = {w: vocabulary[w][1] if w in vocabulary else brown.spelling(w) for words in text.values() for w in words}
+    path = {i: [brown.ENDS, *(cls[w] for w in words), brown.ENDS] for i, words in text.items()}
+    pairs = Counter(p for i in path if zlib.crc32(str(i).encode()) % 10 for p in zip(path[i], path[i][1:]))
+    after, all_ = Counter(), sum(pairs.values())
+    before = Counter()
+    for (a, b), k in pairs.items():
+        after[b] += k
+        before[a] += k
+    for i, words in text.items():
+        want = 0.0
+        for a, b in zip(path[i], path[i][1:]):
+            share = (after[b] + 1) / (all_ + brown.ALL)
+            want += math.log10((pairs[a, b] + brown.BACKOFF * share) / (before[a] + brown.BACKOFF))
+        for w in words:
+            same = [n for n, c in vocabulary.values() if c == cls[w]]
+            n = vocabulary.get(w, (0, 0))[0]
+            want += math.log10(n / sum(same)) if cls[w] < brown.CLASSES else math.log10((n + brown.ALPHA) / (sum(same) + brown.ALPHA * (len(same) + 1)))
+            if len(words) > 1000:
+                break
+        if len(words) <= 1000:
+            assert math.isclose(got[i].score, want, rel_tol=1e-9), i
 
 
 def vectors(spark):
