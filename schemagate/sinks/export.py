@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, FloatType
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, StringType, StructField, StructType
 
 from schemagate import __version__
 from schemagate.functions.text import mime_type
 from schemagate.operators.profiling import column_profile, completeness, duplicate_rows, numeric_profile, verdict
 from schemagate.profiles import OutputSpec
 from schemagate.sinks.documents import DocumentFiles
+from schemagate.sources.stores import ARROW_STORES, open_path, store_name
+
+#: Bytes of a file that a checksum reads at a time.
+CHUNK = 4 << 20
 
 # Defaults of the descriptive metadata.
 DEFAULT_LICENSE, DEFAULT_FREQUENCY = "Open Data License", "monthly"
@@ -149,18 +155,43 @@ def export_metadata(meta: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Path, checksum, size and type of every file of an output."""
+    """Path, checksum, size and type of every file of an output that has content.
+
+    Spark lists the files without reading them; tasks digest them chunk by chunk, so files may have any size and none is
+    held in a row. In stores that only Spark opens, each file is read whole and may have 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    one = files.select("path").first()
+    if one is None or store_name(one.path) in ARROW_STORES:
+        listed = files.select("path", "length", "modificationTime")
+        files = listed.mapInArrow(_digested, StructType([*listed.schema.fields, StructField("checksum", StringType())]))
+    else:
+        files = files.withColumn("checksum", F.sha2("content", 256))
     return files.select(
         F.lit(kind).alias("kind"),
         "path",
-        F.sha2("content", 256).alias("checksum"),
+        "checksum",
         F.col("length").alias("size_bytes"),
         mime_type(F.col("path")).alias("mime_type"),
         F.col("modificationTime").alias("modified_at"),
     )
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = pa.array([file_digest(path) for path in batch["path"].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, sums], [*batch.schema.names, "checksum"])
+
+
+def file_digest(path: str) -> str:
+    """SHA-256 of a file, read in chunks."""
+    digest = hashlib.sha256()
+    with open_path(path) as file:
+        while chunk := file.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
+
+
 def export_documents(docs: DataFrame, path: str, mode: str = "error") -> None:
     """Invoice documents as a table of file name, part number and text."""
     docs.filter(~F.col("illegal")).select("invoice_id", "part_no", "n_parts", "document").write.mode(mode).parquet(path)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 from datetime import datetime
 
@@ -104,3 +105,21 @@ def test_intake_of_datasets(spark, tmp_path):
     datasets = [{**base, "id": "d1"}, {**base, "id": "d2", "active": False}, {**base, "id": "d3"}]
     got = intake_all(spark, datasets, str(tmp_path / "up"), str(tmp_path / "o"), str(tmp_path / "s"))
     assert rows(got) == [("d1", "completed", None), ("d2", "skipped", "dataset_inactive"), ("d3", "skipped", "no_upload_directory")]
+
+
+def test_manifest_of_files_of_any_size(spark, tmp_path):
+    """A file beyond what one row can hold, names with blanks and percent signs; files without content are not listed."""
+    (tmp_path / "out" / "deep").mkdir(parents=True)
+    with open(tmp_path / "out" / "large.csv", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    (tmp_path / "out" / "deep" / "a b%20c.json").write_bytes(b"{}")
+    (tmp_path / "out" / "empty.csv").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: r for r in export.manifest(spark, str(tmp_path / "out"), "output").collect()}
+    whole = hashlib.sha256()
+    for _ in range(2 << 6):
+        whole.update(bytes(1 << 24))
+    whole.update(bytes(5))
+    assert {k: (r.size_bytes, r.checksum) for k, r in got.items()} == {
+        "large.csv": ((2 << 30) + 5, whole.hexdigest()),
+        "a b%20c.json": (2, hashlib.sha256(b"{}").hexdigest()),
+    }
