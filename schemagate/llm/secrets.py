@@ -120,10 +120,13 @@ def random_spans(text: str, encoding, taken: list[tuple[int, int, int]]) -> list
     Of a random string that touches such spans, what goes on without a mark between counts whatever its length;
     the rest of a run is judged for itself.
     """
-    found = []
-    for m in _candidate.finditer(text):
+    found, cuts, k = [], [], 0
+    for m in _candidate.finditer(text):  # both are in order; of each base kind at most one span goes on past a run
         at, stop = m.span()
-        cuts = [(a, b) for a, _, b in taken if a < stop and at < b]
+        while k < len(taken) and taken[k][0] < stop:
+            cuts.append((taken[k][0], taken[k][2]))
+            k += 1
+        cuts = [c for c in cuts if c[1] > at]
         ranges = [(at + a, at + b) for a, b in random_ranges(m[0], encoding)]
         if not cuts:
             found += [(a, 3, b) for a, b in ranges]
