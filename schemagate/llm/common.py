@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
-from collections.abc import Iterator
+import types
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from uuid import uuid4
 
@@ -87,3 +89,14 @@ def share(spark: SparkSession, value):
 
 def shared(sent):
     return pickle.loads(sent.value)
+
+
+def of_worker(key: tuple, make: Callable):
+    """What `make()` gives, made once in a Python worker process and kept there from task to task.
+
+    Functions of this package travel by value, so its own modules are new in each task and keep nothing.
+    """
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

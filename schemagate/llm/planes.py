@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from schemagate.llm.common import slices
+from schemagate.llm.common import of_worker, slices
 
 END_ID = 2
 BLOCK_IDS = 65536
@@ -154,7 +154,7 @@ def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids:
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = of_worker(("encoder", vocabulary), lambda: Encoder(vocabulary)), TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("planes", pa.list_(pa.binary())), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("row", pa.int32()), ("piece", pa.int32()), ("n", pa.int32())])))])
         held, room, pieces, block, row = [], block_ids, [], 0, 0
 
