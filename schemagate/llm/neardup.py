@@ -8,8 +8,9 @@ sizes drops pairs that are out of the question; what is left is settled on the f
 
 Buckets of two or more are kept once and worked off in two rounds, so that no group emits all its pairs: first every
 member against the smallest of its bucket; then, in buckets that still span several components, members of different
-components, in blocks of bounded size that are streamed one after the other. The blocks are gone through twice: on
-registers alone, to name the members that could have a partner, and for these on full texts. A pair inside one
+components, in blocks of bounded size that are streamed one after the other. That is done twice: on registers alone,
+in large blocks, to name the members that could have a partner, and for these, in smaller blocks, on full texts. What
+is known of a node is joined to it once, before its places in buckets and blocks are spread out. A pair inside one
 component needs no test, as only components are asked for.
 """
 
@@ -35,8 +36,8 @@ BASE = 1.001
 RATE = 20.0
 #: A pair is dropped unseen if the likelihood of the threshold is below that of the best estimate by this exponent.
 UNLIKELY = 14.0
-#: Members of a block, their shingles, and pairs weighed at once.
-BLOCK, BLOCK_SHINGLES, PAIRS = 512, 500_000, 20_000
+#: Members of a block that meets on registers; of one that meets on texts, and their shingles; pairs weighed at once.
+WIDE_BLOCK, BLOCK, BLOCK_SHINGLES, PAIRS = 2048, 512, 500_000, 20_000
 
 
 def shingle_set(words: list[bytes], width: int) -> np.ndarray:
@@ -200,12 +201,13 @@ def _candidates(members: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.n
     i, j, band = members["i"][0].as_py(), members["j"][0].as_py(), members["bucket"][0].as_py() & 63
     node, label, n, block, centre = (members[k].to_numpy() for k in ("node", "label", "n_shingles", "block", "centre"))
     registers = _registers(members["sketch"])
-    x, y = np.nonzero((block == i)[:, None] & (block == j) & (label[:, None] != label) & (node != centre)[:, None] & (node != centre))
-    once = (node[x] < node[y]) | (i != j)
-    x, y = x[once], y[once]
+    left, right = np.flatnonzero((block == i) & (node != centre)), np.flatnonzero((block == j) & (node != centre))
     bands, kept = registers.view([("", "<u2")] * ROWS).reshape(len(node), -1), [np.zeros((2, 0), np.int64)]
-    for at in range(0, len(x), PAIRS):
-        a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+    step = max(1, PAIRS // max(1, len(right)))
+    for at in range(0, len(left), step):
+        x = left[at : at + step, None]
+        x, y = np.nonzero((label[x] != label[right]) & ((node[x] < node[right]) | (i != j)))
+        a, b = left[at + x], right[y]
         first = np.argmax(bands[a] == bands[b], axis=1) == band
         a, b = a[first], b[first]
         if len(a):
@@ -215,6 +217,19 @@ def _candidates(members: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.n
     return x, y
 
 
+def spread(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of (node, ...) with what `table` holds of their node; the join makes one row a node, however many it has."""
+    places = rows.groupBy("node").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "node"])).alias("places"))
+    return places.join(table, "node").select(*table.columns, F.inline("places"))
+
+
+def met(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Members of buckets, a row per meeting of their block; `blocks` (bucket, blocks) are the buckets gone through."""
+    rows = members.join(blocks.select("bucket", F.ceil("blocks").cast("int").alias("blocks")), "bucket")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n_shingles", "centre", "block")
+
+
 def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of (doc_id, text).
 
@@ -262,14 +277,8 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
 
     # round two: members of one bucket and different components, block against block
     labels = reps.join(part, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n_shingles")
-    labelled = keep(members.where("n > 2").join(labels, "node"), "dup-labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("words")).where("low != high")
-    mixed = mixed.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    place = labelled.drop("n").join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # blocks meet on registers alone first; then members that could have a partner meet on their texts
-    place = place.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "n_shingles", "centre", "block"
-    )
+    labelled = keep(spread(members.where("n > 2").select("bucket", "node", "centre"), labels), "dup-labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), (F.count(F.lit(1)) / WIDE_BLOCK).alias("blocks")).where("low != high")
     sketch = reps.select("node", "sketch")
 
     def meet(rows: DataFrame) -> DataFrame:
@@ -279,7 +288,7 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
         for members_ in _meetings(batches):
             some = np.unique(np.concatenate(_candidates(members_, percent)))
             if len(some):
-                yield members_.select([*MEETING, "node", "label", "n_shingles", "centre", "block"]).take(pa.array(some))
+                yield members_.select(["bucket", "node", "label", "n_shingles", "centre"]).take(pa.array(some))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members_ in _meetings(batches):
@@ -291,10 +300,11 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80)
             root = node[roots(len(node), x[linked], y[linked])]
             yield pa.RecordBatch.from_arrays([pa.array(root[root != node]), pa.array(node[root != node])], ["a", "b"])
 
-    columns = "bucket bigint, i int, j int, node bigint, label bigint, n_shingles bigint, centre bigint, block int"
-    likely = keep(meet(place.join(sketch, "node")).mapInArrow(narrow, columns), "dup-likely")
-    wanted = texts.join(likely.select("node").distinct(), "node", "left_semi")
-    more = meet(likely.join(sketch, "node").join(wanted, "node")).mapInArrow(cross, "a bigint, b bigint").distinct()
+    columns = "bucket bigint, node bigint, label bigint, n_shingles bigint, centre bigint"
+    likely = keep(meet(spread(met(labelled, mixed), sketch)).mapInArrow(narrow, columns).distinct(), "dup-likely")
+    blocks = likely.groupBy("bucket").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES).alias("blocks"))
+    wanted = sketch.join(texts.join(likely.select("node").distinct(), "node", "left_semi"), "node")
+    more = meet(spread(met(likely, blocks), wanted)).mapInArrow(cross, "a bigint, b bigint").distinct()
     part = keep(components(links.unionAll(more)), "dup-part")
 
     whole = keep(classes.join(part, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component")), "dup-whole")

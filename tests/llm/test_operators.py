@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from schemagate.llm import brown, mixing, neardup, nearest, pieces, planes, quality, secrets, toxicity, vectordup
-from schemagate.llm.common import slices
+from schemagate.llm.common import keep, slices
 from schemagate.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, label int, component string, _size int"
@@ -200,6 +200,40 @@ def test_blocks_that_meet(spark, monkeypatch):
     assert [r.component_id for r in neardup.near_duplicates(df, width=4).orderBy("doc_id").collect()] == part
 
 
+def joined_rows(df, key):
+    """Rows that the joins on `key` make when the frame is run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        at = todo.pop()
+        if at.nodeName().endswith(("Join", "Join Inner")) and f"[{key}#" in at.simpleString(25):
+            found.append(at.metrics().apply("numOutputRows").value())
+        inner = at.executedPlan() if at.nodeName() == "AdaptiveSparkPlan" else at.plan() if at.nodeName().endswith("QueryStage") else None
+        todo += [inner] if inner is not None else [at.children().apply(k) for k in range(at.children().size())]
+    return found
+
+
+def test_large_groups_join_a_row_a_node(spark, monkeypatch):
+    """Members of many blocks are joined to what is known of them once each, not once a meeting of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "WIDE_BLOCK", 16, raising=False)
+    kept = []
+    monkeypatch.setattr(neardup, "keep", lambda df, name: (kept.append((name, df)), keep(df, name))[1])
+    rng = np.random.default_rng(5)
+    texts = set()
+    while len(texts) < 150:
+        words = list(WORDS)
+        for k in rng.choice(50, 3, replace=False):
+            words[k] = f"x{rng.integers(10**6)}"
+        texts.add(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), "doc_id long, text string")
+    _, part = brute_components(sorted(texts), 4, 80)
+    assert [r.component_id for r in neardup.near_duplicates(df, width=4).orderBy("doc_id").collect()] == part
+    for name in ("dup-labelled", "dup-likely"):
+        made = joined_rows(next(d for n, d in kept if n == name), "node")
+        assert made and 0 < sum(made) <= len(texts), name
+
+
 def test_slices_bound_rows_and_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 50, "", "c" * 3, "d" * 4], "n": range(6)})
     cut = [b["n"].to_pylist() for b in slices([batch, batch.slice(0, 0)], 2, 12)]
