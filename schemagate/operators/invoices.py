@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from schemagate.functions.dates import date_prefix, parse_date
 from schemagate.functions.numbers import MONEY_TYPE, money, money_product, parse_decimal
 from schemagate.functions.text import safe_filename, strip
+from schemagate.plans.durable import stored
 from schemagate.plans.skew import flag_repeated, hot_keys, number_hot, number_within
 from schemagate.profiles import Profile
 
@@ -275,10 +276,12 @@ def nested_lines(
     Columns: invoice_id, part_no (from 0), n_parts, first_line, lines, illegal_lines, line_count,
     net, tax, payable, carry. The lines of usual invoices are gathered in one shuffle. Only invoices with
     more than ``part_lines`` lines, at most ``rows / part_lines`` of them, are numbered and cut
-    into parts first. To find those, ``ids`` may give the invoice_id of each line more cheaply.
+    into parts first. To find those, ``ids`` may give the invoice_id of each line more cheaply. They are found when
+    this is called: without any, the lines are not read and shuffled for them again.
     """
     slim = lines.select(*dict.fromkeys(["invoice_id", *order, *LINE_FIELDS, "line_tax", *carry]))
-    big = F.broadcast(hot_keys(slim if ids is None else ids, ["invoice_id"], part_lines))
+    found = stored(hot_keys(slim if ids is None else ids, ["invoice_id"], part_lines), "long-invoices")
+    none, big = found.isEmpty(), F.broadcast(found)
     item = F.struct(*order, *[c for c in LINE_FIELDS if c not in order])
     bad = F.bool_or(_illegal(F.col("description"))).alias("illegal_lines")
     totals = [_total("line_net").alias("net"), _total("line_tax").alias("tax")]
@@ -288,7 +291,7 @@ def nested_lines(
 
     usual = (
         # Gathering lines shrinks nothing, so they are shuffled as they are and gathered after.
-        slim.join(big, "invoice_id", "left_anti")
+        (slim if none else slim.join(big, "invoice_id", "left_anti"))
         .repartition("invoice_id")
         .groupBy("invoice_id")
         .agg(F.sort_array(F.collect_list(item)).alias("lines"), bad, *totals, *first)
@@ -298,6 +301,8 @@ def nested_lines(
             F.size("lines").cast("bigint").alias("line_count"), "net", "tax", payable, *carried,
         )
     )
+    if none:
+        return usual
     numbered = number_hot(
         slim.join(big, "invoice_id", "left_semi"), ["invoice_id"], [F.col(c) for c in order], chunk, "line_no"
     )

@@ -193,9 +193,13 @@ ODD_ID = """case mod(o_custkey, 9) when 0 then 'A' || chr(7) || cast(o_orderkey
     when 2 then 'A/' || cast(o_custkey as string) when 3 then 'a?' || cast(o_custkey - 1 as string) else cast(o_orderkey as string) end"""
 
 
-def odd_lines(spark, sf):
+def _odd(df, spark, sf):
     ids = load(spark, sf, "orders").selectExpr("o_orderkey as invoice_id", f"{ODD_ID} as odd_id")
-    return lines(spark, sf).join(ids, "invoice_id").drop("invoice_id").withColumnRenamed("odd_id", "invoice_id")
+    return df.join(ids, "invoice_id").drop("invoice_id").withColumnRenamed("odd_id", "invoice_id")
+
+
+def odd_lines(spark, sf):
+    return _odd(lines(spark, sf), spark, sf)
 
 
 ODD_LINE_SQL = f"select t.* exclude (invoice_id), {ODD_ID} as invoice_id from ({TAXED_SQL}) t join orders on o_orderkey = t.invoice_id"
@@ -211,7 +215,7 @@ select invoice_id, case when bad then '' when sharing > 1 then safe || '_' || le
 """)
 def invoice_status(spark, sf):
     """Ids with characters XML forbids fail alone; ids that make one file name get a suffix."""
-    nested = op.nested_lines(odd_lines(spark, sf), ORDER, CHUNK)
+    nested = op.nested_lines(odd_lines(spark, sf), ORDER, CHUNK, ids=_odd(line_ids(spark, sf), spark, sf))
     docs = op.documents(nested.withColumn("issue_date", F.lit("2025-01-10")))
     return op.registry(docs).select("invoice_id", "file_path", "payable_amount", "status", "error")
 

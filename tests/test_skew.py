@@ -96,6 +96,17 @@ def test_documents_in_parts_add_up(spark):
     assert invoices.registry(docs(7)).count() == len(whole)
 
 
+def test_lines_are_numbered_only_where_an_invoice_is_long(spark):
+    lines = _lines(spark)
+
+    def plan(part_lines, ids=None):
+        nested = invoices.nested_lines(lines, ["row_id"], ["floor(row_id / 8)"], ["issue_date"], part_lines, ids)
+        return invoices.registry(invoices.documents(nested))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Window" in plan(59) and "Window" not in plan(60)
+    assert "Window" not in plan(60, lines.select("invoice_id")) and "Window" in plan(60, lines.select("invoice_id").unionAll(lines.select("invoice_id")))
+
+
 def test_one_checksum_and_file_on_both_sides_of_the_border(spark, tmp_path):
     lines = _lines(spark)
 
