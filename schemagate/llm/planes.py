@@ -13,9 +13,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +28,11 @@ from schemagate.llm.common import of_worker, slices
 END_ID = 2
 BLOCK_IDS = 65536
 #: Words whose ids a worker remembers; only a matter of speed.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Words whose ids are gathered at once.
+GATHERED = 200_000
+#: Bytes of texts that are encoded at once, unless one text alone is longer.
+TOGETHER = 16 << 20
 PIECES = "array<struct<doc_id:bigint,row:int,piece:int,n:int>>"
 BLOCKS = f"part int, block int, first bigint, n_ids int, planes array<binary>, pieces {PIECES}"
 
@@ -47,6 +53,19 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw).view("<u4").ravel()
 
 
+def gathered(ids: np.ndarray, edges: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of rows joined, and where each begins and the last ends; row n is ids[edges[n] : edges[n + 1]]."""
+    size = edges[rows + 1] - edges[rows]
+    ends = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    return ids[np.arange(ends[-1]) + np.repeat(edges[rows] - ends[:-1], size)], ends
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is among others, -1 for those that are not."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library.
 
@@ -55,6 +74,10 @@ class Encoder:
     on their own, each distinct one once and many in one call; texts with other white space than single spaces and
     line breaks are cut only before single spaces. Texts that hold an added token, such as <|endoftext|>, are encoded
     whole, as the library finds these before all else.
+
+    A word stands for itself after a space. One that begins with a line break or a space stands for itself as it is;
+    words of lines hold neither, so the first word of a line has its line break in front. Arrow splits texts
+    and numbers distinct words; ids of known words lie in one array, from which texts are gathered.
     """
 
     _odd, _gap = re.compile(r"\s\s"), re.compile(r"(?<=\S) ")
@@ -72,10 +95,10 @@ class Encoder:
         opens[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
         breaks = np.zeros_like(opens)
         breaks[self.line] = True
-        #: by separator: where a word starts in joined ids, and the ids of words after it that are remembered
+        #: by what is before a word: where it starts in joined ids
         self.starts = {" ": opens, "\n": breaks}
-        self.known: dict[str, dict[str, bytes]] = {" ": {}, "\n": {}}
-        self.tails: dict[str, bytes] = {}
+        #: rows of known words in ids, between edges
+        self.known, self.ids, self.edges = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @cached_property
     def whole(self):
@@ -87,59 +110,114 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _one(self, word: str, before: str) -> bytes:
-        return self._ids(f" {word}" if before == " " else word).tobytes()
+    def _one(self, word: str) -> np.ndarray:
+        """Ids of a word alone. What follows its line break may be white space, so that is encoded without it."""
+        return np.concatenate([self.line, self._ids(word[1:])]) if word[:1] == "\n" else self._ids(word if word[:1] == " " else f" {word}")
 
-    def _encode(self, words: list[str], before: str) -> None:
-        """Remember the ids of words that follow a space or a line break (which is not part of them)."""
-        known = self.known[before]
+    def _encode(self, words: pa.Array, before: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Words, all after a space or all with a line break in front, with their joined ids and the number of each."""
         for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            joined = before + before.join(part)
-            if joined.split() == part:  # no white space in any
+            own = words[at : at + 2000]
+            part = own.to_numpy(zero_copy_only=False).tolist()
+            joined = "".join(part) if before == "\n" else " " + " ".join(part)
+            if joined.split() == ([w[1:] for w in part] if before == "\n" else part):  # no white space in any
                 ids = self._ids(joined)
                 start = np.flatnonzero(self.starts[before][ids])
                 if len(start) == len(part):
-                    raw, edge, skip = ids.tobytes(), [*(4 * start).tolist(), 4 * len(ids)], 0 if before == " " else 4
-                    known.update((w, raw[a + skip : b]) for w, a, b in zip(part, edge, edge[1:], strict=False))
+                    yield own, ids, np.diff(start, append=len(ids))
                     continue
             if len(part) > 50:  # set the odd ones apart
-                plain = [w for w in part if w.split() == [w]]
+                bare = [w[1:] if before == "\n" else w for w in part]
+                plain = [w for w, x in zip(part, bare, strict=True) if x.split() == [x]]
                 if len(plain) < len(part):
-                    self._encode(plain, before)
-                    part = [w for w in part if w not in known]
-            known.update((w, self._one(w, before)) for w in part)
-
-    def _learn(self, words: set[str], before: str) -> None:
-        """Remember words; marks at their end are encoded apart."""
-        known, marked, heads = self.known[before], [], set()
-        if len(words) + len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                head = w.rstrip(self._marks)
-                if head != w and head and (head[-1].isalpha() or "0" <= head[-1] <= "9"):
-                    marked.append((w, head, w[len(head) :]))
-                else:
-                    head = w
-                if head not in known:
-                    heads.add(head)
-        self._encode(list(heads), before)
-        for w, head, tail in marked:
-            if tail not in self.tails:
-                self.tails[tail] = self._one(tail, "\n")
-            known[w] = known[head] + self.tails[tail]
+                    yield from self._encode(pa.array(plain, pa.large_string()), before)
+                    part = [w for w, x in zip(part, bare, strict=True) if x.split() != [x]]
+            each = [self._one(w) for w in part]
+            yield pa.array(part, pa.large_string()), np.concatenate(each), np.array([len(x) for x in each])
+
+    def _add(self, words: pa.Array, ids: list[np.ndarray], sizes: list[np.ndarray]) -> np.ndarray:
+        """Remember words and their ids; their rows."""
+        self.known = pa.concat_arrays([self.known, words])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))])
+        return np.arange(len(self.known) - len(words), len(self.known))
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Remember distinct words, none of them known; marks at their end are encoded apart. Their rows in ids."""
+        heads = pc.ascii_rtrim(words, characters=self._marks)
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(heads), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        marked = np.zeros(len(words), bool)
+        marked[cut] = [h != "" and (h[-1].isalpha() or "0" <= h[-1] <= "9") for h in heads.take(pa.array(cut)).to_numpy(zero_copy_only=False)]
+        whole, heads, words = words.filter(pa.array(~marked)), heads.filter(pa.array(marked)), words.filter(pa.array(marked))
+        parts = pc.unique(pa.concat_arrays([whole, heads]))  # the whole words first
+        at = places(parts, self.known)
+        new = parts.filter(pa.array(at < 0))
+        line = pc.starts_with(new, "\n")
+        made = [x for before, own in ((" ", pc.invert(line)), ("\n", line)) for x in self._encode(new.filter(own), before)]
+        learnt = pa.concat_arrays([new[:0], *(w for w, _, _ in made)])
+        at[at < 0] = self._add(learnt, [x for _, x, _ in made], [x for _, _, x in made])[places(new, learnt)]
+        rows = np.zeros(len(marked), np.int64)
+        rows[~marked] = at[: len(whole)]
+        if len(words):
+            tails = pa.array([w[n:] for w, n in zip(words.to_numpy(zero_copy_only=False), pc.utf8_length(heads).to_pylist(), strict=True)], pa.large_string()).dictionary_encode()
+            own = [self._ids(t) for t in tails.dictionary.to_pylist()]
+            ends = self.edges[-1] + np.cumsum([len(x) for x in own])
+            joined = np.stack([at[places(heads, parts)], len(self.known) + tails.indices.to_numpy()], 1).ravel()
+            ids, edges = gathered(np.concatenate([self.ids, *own]), np.concatenate([self.edges, ends]), joined)
+            rows[marked] = self._add(words, [ids], [np.diff(edges[::2])])
+        return rows
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows of distinct words in ids; where too many are remembered, only these are kept."""
+        rows = places(words, self.known)
+        new = words.filter(pa.array(rows < 0))
+        if len(self.known) + len(new) > REMEMBERED:
+            old = rows[rows >= 0]
+            self.known, (self.ids, self.edges) = self.known.take(pa.array(old)), gathered(self.ids, self.edges, old)
+            rows[rows >= 0] = np.arange(len(old))
+        if len(new):
+            rows[rows < 0] = self._learn(new)
+        return rows
+
+    def _words(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words; the number of each word of all texts, in turn; edges in these; and the place of each text between edges."""
+        odd = {i: self._gap.split(t) for i, t in enumerate(texts) if t and self._odd.search(t)}
+        lines = pa.array([None if not t or i in odd else "\n" + t.replace("\n", " \n") for i, t in enumerate(texts)], pa.large_string())
+        cut = pc.split_pattern(lines, " ")
+        words, edges, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64), np.arange(len(texts))
+        if odd:  # these come last
+            rest = [w for first, *more in odd.values() for w in (f"\n{first}", *(f" {w}" if w[:1] in (" ", "\n") else w for w in more))]
+            words, edges = pa.concat_arrays([words, pa.array(rest, pa.large_string())]), np.concatenate([edges, edges[-1] + np.cumsum([len(w) for w in odd.values()])])
+            at[[*odd]] = np.arange(len(odd)) + len(texts)
+        words = words.dictionary_encode()
+        return words.dictionary, words.indices.to_numpy(), edges, at
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian ids of each text; null counts as empty. Every text is a list of lines, a line a list of words."""
         whole = {i: np.array(self.whole.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() for i, t in enumerate(texts) if t and self.added.search(t)}
-        texts = [None if i in whole else t for i, t in enumerate(texts)]
-        cut = [[] if not t else [self._gap.split(t)] if self._odd.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn({line[0] for lines in cut for line in lines}, "\n")
-        self._learn({w for lines in cut for line in lines for w in line[1:]}, " ")
-        first, rest, line_break = self.known["\n"], self.known[" "].__getitem__, self.line.tobytes()
-        for i, lines in enumerate(cut):
-            yield whole[i] if i in whole else line_break.join([first[line[0]] + b"".join(map(rest, line[1:])) for line in lines])
+        words, numbers, edges, order = self._words([None if i in whole else t for i, t in enumerate(texts)])
+        rows, i = self._rows(words)[numbers], 0
+        del texts, words, numbers  # not needed while texts are given out
+        for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(edges[order + 1] - edges[order]) // GATHERED)) + 1):
+            own, at = gathered(rows, edges, part)
+            ids, bounds = gathered(self.ids, self.edges, own)
+            raw, bounds = ids.tobytes(), (4 * bounds[at]).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                yield whole[i] if i in whole else raw[a + 4 * len(self.line) : b]  # without the break before the first line
+                i += 1
+
+
+def together(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together up to a number of bytes, larger ones cut by rows: a call of the encoder costs as much as what it remembers."""
+    held, full = [], 0
+    for batch in slices(batches, 10_000, size):
+        if held and full + batch.nbytes > size:
+            yield pa.Table.from_batches(held)
+            held, full = [], 0
+        held.append(batch)
+        full += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids: int = BLOCK_IDS, kind: str = "byte", level: int = 3, end_id: int = END_ID) -> None:
@@ -162,7 +240,7 @@ def write_ids(documents: DataFrame, folder: str, vocabulary: str, *, block_ids:
             ids = np.frombuffer(b"".join(held), "<u4")
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "first": block * block_ids, "n_ids": len(ids), "planes": to_planes(ids, kind, level), "pieces": pieces}], schema)
 
-        for batch in slices(batches, 300):
+        for batch in together(batches, TOGETHER):
             for doc_id, data in zip(batch["doc_id"].to_pylist(), encoder(batch["text"].to_pylist()), strict=True):
                 data, at, piece = data + end, 0, 0
                 while at < len(data):
@@ -213,25 +291,27 @@ def _read(spark: SparkSession, folder: str, column: str, make) -> DataFrame:
     return placed.mapInArrow(decode, f"doc_id bigint, part int, row int, piece int, start bigint, n_tokens bigint, {column}")
 
 
+def _applied(matrix: list[int], v: int) -> int:
+    """A matrix over bits, given by its columns, times the bits of v."""
+    out = 0
+    for column in matrix:
+        if v & 1:
+            out ^= column
+        v >>= 1
+    return out
+
+
+#: Matrices that take a crc32 past 1, 2, 4, ... zero bits; as many as were asked for.
+_ZEROS = [[0xEDB88320] + [1 << n for n in range(31)]]
+
+
 def _shifted(crc: int, size: int) -> int:
-    """A crc32 as if `size` zero bytes followed: squares of the one-zero-byte operator, by the bits of size."""
-    def apply(matrix: list[int], v: int) -> int:
-        out = 0
-        for column in matrix:
-            if v & 1:
-                out ^= column
-            v >>= 1
-        return out
-
-    bit = [0xEDB88320] + [1 << n for n in range(31)]
-    power = bit
-    for _ in range(3):  # one bit to one byte
-        power = [apply(power, c) for c in power]
-    while size:
-        if size & 1:
-            crc = apply(power, crc)
-        size >>= 1
-        power = [apply(power, c) for c in power] if size else power
+    """A crc32 as if `size` zero bytes followed: one matrix for each bit of size, each made once."""
+    for n in range(size.bit_length()):
+        while len(_ZEROS) <= n + 3:
+            _ZEROS.append([_applied(_ZEROS[-1], c) for c in _ZEROS[-1]])
+        if size >> n & 1:
+            crc = _applied(_ZEROS[n + 3], crc)
     return crc
 
 
